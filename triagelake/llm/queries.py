@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from triagelake.llm import line_dedup
+from triagelake.llm import line_dedup, piece_codec, quality_ledger, simhash_dedup
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": line_dedup.op3_line_dedup}
+    return {
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+        "op9_quality_ledger": quality_ledger.op9_quality_ledger,
+        "op10_piece_codec": piece_codec.op10_piece_codec,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op9_quality_ledger": quality_ledger.SQL}
