@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from triagelake.llm.common import blocks, byte_values, prefix_sums, ragged, range_hash, table
 
 BLANK = "▁"
+#: Bytes of text encoded at once: the more, the more often a unit is shared.
+ENCODE_BYTES = 2 << 20
 _NONE = np.int64(1 << 40)
 _MODELS: dict[int, "Pieces"] = {}
 
@@ -148,9 +150,11 @@ def merge_rounds(p: Pieces, sym: np.ndarray, unit: np.ndarray, n_units: int) ->
             new_sym, new_unit, new_group = merged[keep], unit[keep], group[keep]
             new_rank, new_at = rank[keep], at[keep]
             place = np.cumsum(keep) - 1
-            fresh = place[chosen]
-            fresh = np.unique(np.concatenate([fresh, fresh[fresh > 0] - 1]))
-            ok = fresh[fresh + 1 < len(new_sym)]
+            fresh = np.zeros(len(new_sym) + 1, bool)
+            fresh[place[chosen]] = True
+            fresh[place[chosen] - 1] = True  # of the very first symbol: the spare last place
+            fresh[len(new_sym) - 1 :] = False
+            ok = np.flatnonzero(fresh)
             r, a = p.look_up(new_sym[ok], new_sym[ok + 1])
             r[new_unit[ok] != new_unit[ok + 1]] = _NONE
             new_rank[ok], new_at[ok] = r, a
@@ -245,7 +249,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         p = pieces_of(model.value)
         for batch in batches:
             rest = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
-            for a, b, data, offs in blocks(batch.column(0)):
+            for a, b, data, offs in blocks(batch.column(0), ENCODE_BYTES):
                 raw = data.tobytes()
                 ids, counts = encode_block(p, [raw[i:j] for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(ids, pa.int32()))
@@ -290,7 +294,7 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         name = [b"%d" % i for i in range(p.size)]
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for _, _, data, offs in blocks(batch.column(0)):
+            for _, _, data, offs in blocks(batch.column(0), ENCODE_BYTES):
                 raw = data.tobytes()
                 ids, counts = encode_block(p, [raw[i:j] for i, j in zip(offs[:-1].tolist(), offs[1:].tolist())])
                 texts = decode_block(p, ids, counts)
