@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from triagelake.llm import line_dedup, piece_codec, quality_ledger, simhash_dedup
+from triagelake.llm import decontam, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+        "op6_decontamination": decontam.op6_decontamination,
+        "op7_pii": pii.op7_pii,
         "op9_quality_ledger": quality_ledger.op9_quality_ledger,
         "op10_piece_codec": piece_codec.op10_piece_codec,
     }
