@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triagelake.llm import decontam, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup
+from triagelake.llm import decontam, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
         "op6_decontamination": decontam.op6_decontamination,
         "op7_pii": pii.op7_pii,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_ledger": quality_ledger.op9_quality_ledger,
         "op10_piece_codec": piece_codec.op10_piece_codec,
     }
