@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from triagelake.llm import decontam, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, toxicity
+from triagelake.llm import decontam, html_extract, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_html_extraction": html_extract.op4_html_extraction,
         "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
         "op6_decontamination": decontam.op6_decontamination,
         "op7_pii": pii.op7_pii,
