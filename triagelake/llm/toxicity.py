@@ -376,3 +376,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, trained_model(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose text scores 0.5 or more; decided row by row, so nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            s = np.concatenate([m.scores(d, o) for _, _, d, o in blocks(batch.column(0))] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(s < 0.5))
+
+    return docs.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, docs.schema)
