@@ -100,7 +100,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays (of equal ids one).
 
     Ties among rows of the smallest doc_id go to the smallest text hash.
