@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.common import blocks, prefix_sums, ragged, range_hash, table, word_bounds
 
-MAX_PER_CLASS = {1: 1000, 0: 2500}  # training documents of each label
+MAX_PER_CLASS = {1: 800, 0: 2000}  # training documents of each label
 MAX_LANDMARKS = 48
 #: Least log-likelihood ratio of a landmark's stem.
 EVIDENCE = 14.0
@@ -199,24 +199,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.values(data, offs) + self.shift, -30, 30)))
 
 
-def _bags(texts: list[str]) -> list[set[tuple[str, str]]]:
-    """The distinct coded words of each text, each with the word before it."""
-    bags = []
+def _word_ids(texts: list[str], ids: dict[str, int]) -> list[np.ndarray]:
+    """Each text's coded words in order, as numbers given out by ids (0: none)."""
+    out = []
     for t in texts:
         d = np.frombuffer(t.encode(), np.uint8)
         letters, first, length, _ = word_codes(d, np.array([0, len(d)]))
         raw = letters.tobytes()
-        words = [raw[a : a + n].decode("latin-1") for a, n in zip(first.tolist(), length.tolist())]
-        bags.append(set(zip(["", *words], words)))
-    return bags
+        words = (raw[a : a + n].decode("latin-1") for a, n in zip(first.tolist(), length.tolist()))
+        out.append(np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words), np.int64))
+    return out
+
+
+def _surroundings(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (word before, word) pairs of all texts."""
+    before = np.concatenate([np.concatenate([[0], t[:-1]]) for t in texts if len(t)] or [np.zeros(0, np.int64)])
+    word = np.concatenate([t for t in texts if len(t)] or [np.zeros(0, np.int64)])
+    key = np.unique(before * (n + 1) + word)
+    return key // (n + 1), key % (n + 1)
 
 
-def _matrix(marks: Landmarks, words: list[str]) -> np.ndarray:
-    raw = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
-    length = np.array([len(w) for w in words], np.int64)
-    out = np.zeros((len(words), len(marks.words)))
-    some, f = marks.features(raw, np.cumsum(length) - length, length)
-    out[some] = f
+def _matrix(marks: Landmarks, words: list[str], step: int = 20_000) -> np.ndarray:
+    out = np.zeros((len(words), len(marks.words)), np.float32)
+    for at in range(0, len(words), step):
+        part = words[at : at + step]
+        length = np.array([len(w) for w in part], np.int64)
+        some, f = marks.features(np.frombuffer("".join(part).encode("latin-1"), np.uint8), np.cumsum(length) - length, length)
+        out[at + some] = f
     return out
 
 
@@ -272,49 +281,60 @@ def train(toxic: list[str], clean: list[str]) -> Model:
     if not toxic or not clean:
         share = len(toxic) / max(1, len(toxic) + len(clean))
         return Model(None, shift=float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
-    bad, good = _bags(toxic), _bags(clean)
+    ids: dict[str, int] = {}
+    bad, good = _word_ids(toxic, ids), _word_ids(clean, ids)
+    vocabulary = ["", *ids]
+    n = len(ids)
     # Evidence counts distinct surroundings (the word before), so that copies of a document count once. It is
     # gathered for letter groups, as a family of endings has rare members and a frequent stem.
-    pairs_bad, pairs_good = set().union(*bad), set().union(*good)
-    in_bad, in_good = Counter(w for _, w in pairs_bad), Counter(w for _, w in pairs_good)
-    grams = lambda pairs: Counter(g for _, g in {(p, w[i : i + 4]) for p, w in pairs for i in range(len(w) - 3)})
-    stem_bad, stem_good = grams(pairs_bad), grams(pairs_good)
-    share = len(pairs_bad) / max(1, len(pairs_bad) + len(pairs_good))
-    stem = {g: _evidence(n, stem_good[g], share) for g, n in stem_bad.items()}
-    bad = [{w for _, w in b} for b in bad]
+    pairs_bad, pairs_good = _surroundings(bad, n), _surroundings(good, n)
+    in_bad, in_good = (np.bincount(w, minlength=n + 1) for _, w in (pairs_bad, pairs_good))
+    gram_ids: dict[str, int] = {}
+    per_word = [[gram_ids.setdefault(g, len(gram_ids)) for g in dict.fromkeys(w[i : i + 4] for i in range(len(w) - 3))] for w in vocabulary]
+    count = np.fromiter(map(len, per_word), np.int64, n + 1)
+    flat, begin, g = np.fromiter((x for p in per_word for x in p), np.int64, int(count.sum())), np.cumsum(count) - count, max(1, len(gram_ids))
+
+    def stems(pairs) -> np.ndarray:
+        before, word = pairs
+        key = np.unique(np.repeat(before, count[word]) * g + flat[ragged(begin[word], count[word])])
+        return np.bincount(key % g, minlength=g)
+
+    stem_bad, stem_good = stems(pairs_bad), stems(pairs_good)
+    share = len(pairs_bad[0]) / max(1, len(pairs_bad[0]) + len(pairs_good[0]))
+    stem = np.array([_evidence(int(x), int(y), share) if x else 0.0 for x, y in zip(stem_bad, stem_good)])
+    grams = list(gram_ids)
     suspicion, best = {}, {}
-    for w in in_bad:
-        if not in_good[w] and len(w) >= 4:
-            best[w] = max((w[i : i + 4] for i in range(len(w) - 3)), key=lambda g: (stem[g], g))
-            suspicion[w] = stem[best[w]]
+    for i in np.flatnonzero((in_bad > 0) & (in_good == 0) & (count > 0)).tolist():
+        x = max(per_word[i], key=lambda x: (stem[x], grams[x]))
+        suspicion[vocabulary[i]], best[vocabulary[i]] = float(stem[x]), grams[x]
     # landmarks: the most suspicious words, a few for each stem, as long as chance is no explanation
     chosen: list[str] = []
     of_stem, explained = Counter(), Counter()
-    for w in sorted(suspicion, key=lambda w: (-suspicion[w], -in_bad[w], len(w), w)):
+    for w in sorted(suspicion, key=lambda w: (-suspicion[w], -in_bad[ids[w]], len(w), w)):
         if len(chosen) >= MAX_LANDMARKS or suspicion[w] < EVIDENCE and len(chosen) >= 4 or suspicion[w] < EVIDENCE / 2 and chosen:
             break
-        g = best[w]
-        if of_stem[g] >= 3 or explained[g] > 0.5 * stem_bad[g]:  # enough of this stem, or one word makes up most of it
+        g = best[w]  # its strongest stem
+        if of_stem[g] >= 3 or explained[g] > 0.5 * stem_bad[gram_ids[g]]:  # enough of this stem, or one word makes up most of it
             continue
         for x in {w[i : i + 4] for i in range(len(w) - 3)}:
             of_stem[x] += 1
-            explained[x] = max(explained[x], in_bad[w])
+            explained[x] = max(explained[x], int(in_bad[ids[w]]))
         chosen.append(w)
     chosen = chosen or ["".join(map(chr, (20, 15, 24, 9, 3)))]
     marks = Landmarks(chosen)
-    own = _matrix(marks, chosen)
+    own = _matrix(marks, chosen).astype(float)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     ok = value > 1e-6 * value.max() if value.max() > 0 else value > -1
     whiten = vector[:, ok] / np.sqrt(np.maximum(value[ok], 1e-9))
-    neg = sorted(in_good)
-    neg_f = _matrix(marks, neg)
+    neg_f = _matrix(marks, [vocabulary[i] for i in np.flatnonzero(in_good).tolist()])
     hard = neg_f.any(axis=1)
     x_neg = np.vstack([neg_f[hard], np.zeros((1, len(chosen)))]) @ whiten
     n_neg = np.append(np.ones(int(hard.sum())), max(1.0, 0.2 * hard.sum()))
-    words = sorted({w for b in bad for w in b})
-    at = {w: i for i, w in enumerate(words)}
+    held = np.flatnonzero(in_bad)
+    words = [vocabulary[i] for i in held.tolist()]
     f_bad = _matrix(marks, words) @ whiten
-    some = [np.array([at[w] for w in b if f_bad[at[w]].any()], int) for b in map(sorted, bad)]
+    live = f_bad.any(axis=1)
+    some = [at[live[at]] for at in (np.searchsorted(held, np.unique(b)) for b in bad)]
     value = np.array([suspicion.get(w, -1.0) for w in words])
     strong = np.array([suspicion.get(w, 0.0) >= EVIDENCE for w in words])
     alpha, bias = np.zeros(whiten.shape[1]), 0.0
