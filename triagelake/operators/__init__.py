@@ -1 +1 @@
-
+"""Operators over ledgers, rule rows and alerts."""

@@ -1 +1 @@
-
+"""Artifacts and read-side queries built from the operators."""
