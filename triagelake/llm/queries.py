@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from triagelake.llm import decontam, html_extract, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, toxicity
+from triagelake.llm import decontam, html_extract, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_html_extraction": html_extract.op4_html_extraction,
