@@ -1,14 +1,19 @@
 """The learned ordering, trained walk-forward on earlier periods only.
 
-Spark has no listwise ranker.  ``LogisticRanker`` is pointwise on standardised features, and its contributions
-are exact (weight times value); ``TreeRanker`` uses boosted trees.  Either is refitted for every evaluation
-period, so the loop over periods runs on the driver and each fit is a Spark job.
+Spark has no listwise ranker.  ``ridge_models`` fits a ridge regression for every evaluation period from one pass:
+tasks add up each period's second moments, and a period's model comes from the sums of the periods before it.
+``LogisticRanker`` is pointwise on standardised features, ``TreeRanker`` uses boosted trees; either is refitted for
+every period (``models``), so that loop runs on the driver and each fit is some Spark jobs.  Linear contributions
+are exact (weight times standardised value).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -72,6 +77,94 @@ class TreeRanker:
         return sorted(zip(self.names, map(float, self.model.featureImportances.toArray())), key=lambda x: (-x[1], x[0]))
 
 
+class RidgeRanker:
+    """A fitted ridge regression on standardised features."""
+
+    def __init__(self, names: list[str], weights: np.ndarray, mean: np.ndarray, sd: np.ndarray):
+        self.names, self.weights = names, weights.tolist()
+        self.mean, self.sd = mean.tolist(), sd.tolist()
+
+    def _values(self) -> list:
+        return [(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) - m) / s for n, m, s in zip(self.names, self.mean, self.sd)]
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        total = F.lit(0.0)
+        for x, w in zip(self._values(), self.weights):
+            total = total + x * w
+        return rows.select("alert_id", "period_start", total.alias("score"))
+
+    def importance(self) -> list[tuple[str, float]]:
+        return sorted(((n, abs(w)) for n, w in zip(self.names, self.weights)), key=lambda x: (-x[1], x[0]))
+
+    def contributions(self, rows: DataFrame, top: int = 5) -> DataFrame:
+        """(alert_id, feature, contribution): the top additive parts of each score; ties by feature name."""
+        parts = F.array(*[F.struct((-F.abs(x * w)).alias("k"), F.lit(n).alias("feature"), (x * w).alias("contribution")) for x, n, w in zip(self._values(), self.names, self.weights)])
+        return rows.select("alert_id", F.explode(F.slice(F.array_sort(parts), 1, top)).alias("p")).select("alert_id", "p.feature", "p.contribution")
+
+
+def _moments(features: DataFrame, prepared: DataFrame, names: list[str]) -> DataFrame:
+    """(day, m): each period's sums of products of (1, features, label), added up in the tasks first."""
+    known = prepared.select("alert_id", F.col("is_true_positive").cast("double").alias("label"))
+    x = F.array(F.lit(1.0), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names], F.col("label"))
+    rows = features.join(known, "alert_id").select(F.to_date("period_start").cast("string").alias("day"), x.alias("x"))
+    size = len(names) + 2
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            day = np.array(batch.column(0).to_pylist(), dtype=object)
+            z = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            for d in set(day.tolist()):
+                of = z[day == d]
+                sums[d] = sums.get(d, 0) + of.T @ of
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([m.ravel().tolist() for m in sums.values()], pa.list_(pa.float64()))], names=["day", "m"])
+
+    def total(t: pa.Table) -> pa.Table:
+        m = np.array(t.column("m").to_pylist()).sum(axis=0)
+        return pa.table([t.column("day").slice(0, 1), pa.array([m.tolist()], pa.list_(pa.float64()))], names=["day", "m"])
+
+    return rows.mapInArrow(partial, "day string, m array<double>").groupBy("day").applyInArrow(total, "day string, m array<double>")
+
+
+def ridge_models(features: DataFrame, prepared: DataFrame, start: str, reg: float = 0.01) -> dict[str, RidgeRanker]:
+    """One model for each evaluation day, from the moments of the periods before; days without both labels have none.
+
+    What comes to the driver is one matrix of features by features for each period.
+    """
+    if {"is_true_positive", "attempt_ids", "laundering_transactions"} & set(features.columns):
+        raise ValueError("outcome column among the features")
+    names = feature_columns(features)
+    size = len(names) + 2
+    so_far, out = np.zeros((size, size)), {}
+    for row in _moments(features, prepared, names).orderBy("day").collect():
+        n, hits = so_far[0, 0], so_far[0, -1]
+        if row.day >= start and 0 < hits < n:
+            mean = so_far[0, 1:-1] / n
+            cov = so_far[1:-1, 1:-1] / n - np.outer(mean, mean)
+            sd = np.sqrt(np.maximum(np.diag(cov), 0))
+            flat = sd <= 1e-9 * np.maximum(np.abs(mean), 1)
+            sd[flat] = 1.0
+            corr = cov / np.outer(sd, sd)
+            corr[flat], corr[:, flat] = 0, 0
+            with_label = (so_far[1:-1, -1] / n - mean * hits / n) / sd
+            with_label[flat] = 0
+            out[row.day] = RidgeRanker(names, np.linalg.solve(corr + reg * np.eye(len(names)), with_label), mean, sd)
+        so_far += np.array(row.m).reshape(size, size)
+    return out
+
+
+def _scored(features: DataFrame, by_day: dict[str, RidgeRanker], name: str) -> DataFrame:
+    """features' keys with the score of the model of each row's day: one join to a table of one row a period."""
+    spark = features.sparkSession
+    rows = [(d, [w / s for w, s in zip(m.weights, m.sd)], float(-sum(w * a / s for w, a, s in zip(m.weights, m.mean, m.sd)))) for d, m in by_day.items()]
+    table = spark.createDataFrame(rows, "day string, w array<double>, b double")
+    names = next(iter(by_day.values())).names
+    x = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names])
+    dot = F.aggregate(F.zip_with(x, F.col("w"), lambda a, b: a * b), F.col("b"), lambda a, b: a + b)
+    day = F.to_date("period_start").cast("string")
+    return features.withColumn("day", day).join(F.broadcast(table), "day").select("alert_id", "period_start", dot.alias(name))
+
+
 def training_frame(features: DataFrame, prepared: DataFrame, before: str) -> DataFrame:
     """Features with label of periods strictly before a day. Refuses outcome columns among the features."""
     if {"is_true_positive", "attempt_ids", "laundering_transactions"} & set(features.columns):
@@ -100,6 +193,8 @@ def models(features: DataFrame, prepared: DataFrame, start: str, make=LogisticRa
 
 def walk_forward(features: DataFrame, fitted: dict[str, Ranker]) -> DataFrame:
     """(alert_id, period_start, score), each period scored by the model of the periods before it."""
+    if fitted and all(isinstance(m, RidgeRanker) for m in fitted.values()):
+        return _scored(features, fitted, "score")
     out = None
     for day, model in fitted.items():
         part = model.score(features.where(F.to_date("period_start") == F.lit(day).cast("date")))
@@ -114,6 +209,10 @@ def rank_stability(features: DataFrame, fitted: dict[str, Ranker]) -> DataFrame:
     from triagelake.operators.backtest import spearman
 
     days, out = list(fitted), None
+    if len(days) > 1 and all(isinstance(m, RidgeRanker) for m in fitted.values()):
+        now = _scored(features, {d: fitted[d] for d in days[1:]}, "b")
+        then = _scored(features, dict(zip(days[1:], fitted.values())), "a")
+        return spearman(now.join(then, ["alert_id", "period_start"]), "a", "b", "period_start")
     for before, day in zip(days[:-1], days[1:]):
         rows = features.where(F.to_date("period_start") == F.lit(day).cast("date"))
         both = fitted[before].score(rows).select("alert_id", "period_start", F.col("score").alias("a")).join(fitted[day].score(rows).select("alert_id", F.col("score").alias("b")), "alert_id")
@@ -123,4 +222,4 @@ def rank_stability(features: DataFrame, fitted: dict[str, Ranker]) -> DataFrame:
     return spearman(out, "a", "b", "period_start")
 
 
-__all__ = ["KEYS", "LogisticRanker", "Ranker", "TreeRanker", "models", "rank_stability", "training_frame", "walk_forward"]
+__all__ = ["KEYS", "LogisticRanker", "Ranker", "RidgeRanker", "TreeRanker", "models", "rank_stability", "ridge_models", "training_frame", "walk_forward"]

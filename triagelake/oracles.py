@@ -231,10 +231,10 @@ dr AS (SELECT rung, s, CAST('0x' || substr(md5('{O.seed}|' || s || '|' || i), 1,
 ms AS (SELECT rung, s, CAST(sum(v) AS DOUBLE) / count(*) AS m FROM dr JOIN el USING (rung, i) GROUP BY 1, 2),
 ls AS (SELECT rung, list_sort(list(m)) AS l FROM ms GROUP BY 1)
 SELECT rung, (SELECT CAST(sum(v) AS DOUBLE) / count(*) FROM el e WHERE e.rung = ls.rung) AS mean, CAST(len(l) AS BIGINT) AS samples, l[CAST(floor(0.025::DOUBLE * (len(l) - 1)) AS BIGINT) + 1] AS low, l[CAST(floor(0.975::DOUBLE * (len(l) - 1)) AS BIGINT) + 1] AS high FROM ls""",
-        "bootstrap_lift": _TO_WORKED + f""", per AS (SELECT period, count(*) FILTER (rung = 'B3') AS aw, CAST(sum(CAST(tp AS INT)) FILTER (rung = 'B3') AS BIGINT) AS at, count(*) FILTER (rung = 'B0') AS bw, CAST(sum(CAST(tp AS INT)) FILTER (rung = 'B0') AS BIGINT) AS bt FROM worked GROUP BY 1),
+        "bootstrap_lift": _TO_WORKED + f""", per AS (SELECT period, count(*) FILTER (rung = 'B3') AS aw, CAST(sum(CAST(tp AS INT)) FILTER (rung = 'B3') AS BIGINT) AS a_hits, count(*) FILTER (rung = 'B0') AS bw, CAST(sum(CAST(tp AS INT)) FILTER (rung = 'B0') AS BIGINT) AS b_hits FROM worked GROUP BY 1),
 el AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS size FROM per),
 dr AS (SELECT s, CAST('0x' || substr(md5('{O.seed}|' || s || '|' || i), 1, 15) AS BIGINT) % size AS i FROM el CROSS JOIN range(200) t(s)),
-ms AS (SELECT s, (CAST(sum(at) AS DOUBLE) / sum(aw)) / nullif(CAST(sum(bt) AS DOUBLE) / sum(bw), 0) AS m FROM dr JOIN el USING (i) GROUP BY 1),
+ms AS (SELECT s, (CAST(sum(a_hits) AS DOUBLE) / sum(aw)) / nullif(CAST(sum(b_hits) AS DOUBLE) / sum(bw), 0) AS m FROM dr JOIN el USING (i) GROUP BY 1),
 ls AS (SELECT list_sort(list(m) FILTER (m IS NOT NULL)) AS l FROM ms)
 SELECT CAST(len(l) AS BIGINT) AS samples, l[CAST(floor(0.025::DOUBLE * (len(l) - 1)) AS BIGINT) + 1] AS low, l[CAST(floor(0.975::DOUBLE * (len(l) - 1)) AS BIGINT) + 1] AS high FROM ls""",
         "spearman_b2_b3": _TO_WORKED + " SELECT CAST(period AS TIMESTAMP) AS period_start, round(corr(rank_b2, rank_b3), 9) AS rho FROM ranked GROUP BY 1",

@@ -99,7 +99,7 @@ def _leakage(s, d):
 
 
 def _models(s, d):
-    return K.models(_features(s, d), _prepared(s, d), O.evaluation_start)
+    return K.ridge_models(_features(s, d), _prepared(s, d), O.evaluation_start)
 
 
 def _importance(s, d):
@@ -111,6 +111,8 @@ def _importance(s, d):
 
 def _contributions(s, d):
     fitted = _models(s, d)
+    if not fitted:
+        return s.createDataFrame([], "alert_id string, feature string, contribution double")
     day = max(fitted)
     return fitted[day].contributions(_features(s, d).where(F.to_date("period_start") == F.lit(day).cast("date")))
 
