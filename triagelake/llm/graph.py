@@ -33,9 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
             out = up.select("node", F.col("to").alias("root"))
             continue
         lifted = up.join(out.select(F.col("node").alias("to"), "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-        out = lifted.unionByName(out)
+        out = lifted.unionByName(out.join(lifted.select("node"), "node", "left_anti"))
     if out is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    # a node is in the map of the round in which it lost its own name, and in later ones as a target only
+    # a target that was renamed in the same round is renamed again later; the first entry of a node leads to the same root
     roots = out.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return out.unionByName(roots.join(out.select("node"), "node", "left_anti"))

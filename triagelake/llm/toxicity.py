@@ -259,6 +259,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
 
 
+def _boundary(x: np.ndarray, y: np.ndarray) -> float | None:
+    """The value with the fewest wrong decisions, classes of equal weight; of equally good gaps the middle of the widest."""
+    values, at = np.unique(x, return_inverse=True)
+    if len(values) < 2:
+        return None
+    bad = np.bincount(at, weights=y > 0) / max(1, (y > 0).sum())
+    good = np.bincount(at, weights=y <= 0) / max(1, (y <= 0).sum())
+    wrong = (np.cumsum(bad) + good.sum() - np.cumsum(good))[:-1]  # toxic at or below, clean above
+    gap = np.where(wrong <= wrong.min() + 1e-9, np.diff(values), -1.0)
+    k = int(gap.argmax())
+    return float(values[k] + values[k + 1]) / 2
+
+
 def _evidence(bad: int, good: int, share: float) -> float:
     """Log-likelihood ratio of a group's share of toxic documents against the common share; 0 if not higher."""
     n = bad + good
@@ -352,7 +365,11 @@ def train(toxic: list[str], clean: list[str]) -> Model:
     model = Model(marks, whiten @ alpha, bias)
     fit = lambda texts: np.concatenate([model.values(d, o) for _, _, d, o in blocks(pa.array(texts, pa.large_string()))])
     v = np.concatenate([fit(toxic), fit(clean)])
-    model.slope, model.shift = _logistic(v, np.append(np.ones(len(toxic)), np.zeros(len(clean))))
+    y = np.append(np.ones(len(toxic)), np.zeros(len(clean)))
+    model.slope, model.shift = _logistic(v, y)
+    middle = _boundary(v, y)
+    if model.slope > 0 and middle is not None:  # labels are noisy: the fit gives the slope, the decisions the midpoint
+        model.shift = -model.slope * middle
     return model
 
 
