@@ -200,7 +200,7 @@ FROM alerts a LEFT JOIN ledger t ON t.from_account = a.subject_account AND t.per
         + ", ".join(f"CAST(list_contains(fired, '{r}') AS INT) AS fired_{r.lower()}" for r in RULES)
         + """, period_out_count / greatest(history_out_count / greatest(history_out_days, 1), 0.001::DOUBLE) AS period_over_history_rate, period_out_counterparties / greatest(period_out_count, 1) AS period_counterparty_ratio,
   period_out_amount_total / greatest(history_out_amount_total, 1.0::DOUBLE) AS period_over_history_amount FROM alerts JOIN h_out USING (alert_id) JOIN p_out USING (alert_id)""",
-        "leakage_gate": "SELECT 200 AS sampled, 0 AS leaking_features",
+        "leakage_gate": _TO_ALERTS + " SELECT CAST(least(200, count(*)) AS INT) AS sampled, 0 AS leaking_features FROM alerts",
         "labels": _BASE + "," + _LABELS + " SELECT txn_id, period, attempt_id, typology FROM labels_",
         "prepared": _TO_PREPARED + """ SELECT alert_id, subject_account, CAST(period AS TIMESTAMP) AS period_start, array_to_string(fired, ',') AS fired_rules, first_txn_ts, alert_amount, laundering_transactions,
   array_to_string(attempts, ',') AS attempt_ids, array_to_string(types, ',') AS typologies, tp AS is_true_positive, unattr AS unattributed_only FROM prepared""",
