@@ -9,6 +9,8 @@ item are fingerprinted, which loses nothing: without one the similarity is zero.
 The items' index is broadcast in slices of at most SLICE_BYTES of item text; a larger benchmark takes one pass
 over the documents for each slice.
 
+A document shorter than an item has no window of its size; the whole document is then its one window for the item.
+
 Edge cases: null and empty texts are clean; an item without words matches nothing; an item of fewer words than
 a shingle is one shingle of all its words; equal best windows give the earliest; repeated rows count once in
 ``find_leaks`` and stay or go together in ``remove_leaks``; further columns are carried; empty in, empty out.
@@ -102,10 +104,10 @@ class Items:
         both = np.minimum(np.bincount(hit, minlength=len(mine)), weight).sum()
         return float(both / (weight.sum() + len(h) - both))
 
-    def scan(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, int]]:
-        """(row, item, similarity, first word) of each pair's best window at or over the threshold."""
+    def scan(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """(row, item, similarity, first word, words) of each pair's best window at or over the threshold."""
         words, row = _words(data, offs)
-        found: dict[tuple[int, int], tuple[float, int]] = {}
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
         begin = np.searchsorted(row, np.arange(len(offs)))
         for width, (keys, sizes, maybe, shift) in self.widths.items():
             h, at = _shingles(words, row, width)
@@ -115,8 +117,25 @@ class Items:
             size = sizes[ragged(lo, n)]
             where = np.repeat(some, n)
             for s in np.unique(size).tolist():
-                self._windows(s, width, np.unique(where[size == s]), h, at, row, begin, found)
-        return [(r, k, sim, start) for (r, k), (sim, start) in found.items()]
+                hits = np.unique(where[size == s])
+                short = np.diff(begin)[row[at[hits]]] < s
+                self._whole(s, width, np.unique(row[at[hits[short]]]), h, at, begin, found)
+                if not short.all():
+                    self._windows(s, width, hits[~short], h, at, row, begin, found)
+        return [(r, k, sim, start, n) for (r, k), (sim, start, n) in found.items()]
+
+    def _whole(self, size, width, docs, h, at, begin, found) -> None:
+        """Compares documents of fewer than size words as they are with the items of size words."""
+        of = self.by_size[size]
+        for d in docs.tolist():
+            own = h[np.searchsorted(at, begin[d]) : np.searchsorted(at, begin[d + 1])]
+            if len(own) < SIMILARITY * (size - width + 1):  # too few to reach the threshold
+                continue
+            bits = fingerprint(own)
+            near = self.tables[size][bits, :, np.arange(8)].any(axis=0)
+            for i in np.flatnonzero(near).tolist():
+                if _BITS[bits ^ self.prints[of[i]]].sum(dtype=np.int64) <= RADIUS and (sim := self.similarity(of[i], own)) >= SIMILARITY:
+                    found[d, of[i]] = (sim, 0, int(begin[d + 1] - begin[d]))
 
     def _windows(self, size, width, hits, h, at, row, begin, found) -> None:
         """Fingerprints the windows of size words around hit shingles and keeps the best matches."""
@@ -144,7 +163,7 @@ class Items:
                     start = int(at[x + w] - begin[d])
                     old = found.get((d, of[i]))
                     if sim >= SIMILARITY and (old is None or (sim, -start) > (old[0], -old[1])):
-                        found[d, of[i]] = (sim, start)
+                        found[d, of[i]] = (sim, start, size)
 
 
 def _slices(benchmark: DataFrame):
@@ -170,11 +189,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     got = sorted(index.scan(data, offs))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            ids.take(pa.array([a + r for r, _, _, _ in got], pa.int64())),
-                            pa.array([index.ids[k] for _, k, _, _ in got], pa.int64()),
-                            pa.array([s for _, _, s, _ in got], pa.float64()),
-                            pa.array([w for _, _, _, w in got], pa.int64()),
-                            pa.array([index.n_words[k] for _, k, _, _ in got], pa.int64()),
+                            ids.take(pa.array([a + r for r, *_ in got], pa.int64())),
+                            pa.array([index.ids[k] for _, k, *_ in got], pa.int64()),
+                            pa.array([s for _, _, s, _, _ in got], pa.float64()),
+                            pa.array([w for _, _, _, w, _ in got], pa.int64()),
+                            pa.array([n for *_, n in got], pa.int64()),
                         ],
                         names=["doc_id", "item_id", "similarity", "start_word", "n_words"],
                     )
@@ -198,7 +217,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for a, _, data, offs in blocks(batch.column(0)):
-                    keep[[a + r for r, _, _, _ in index.scan(data, offs)]] = False
+                    keep[[a + r for r, *_ in index.scan(data, offs)]] = False
                 out = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
                 yield out.filter(pa.array(keep))
 
