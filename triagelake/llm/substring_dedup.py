@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.llm.common import blocks, byte_values, prefix_sums, ragged, range_hash, table, text_key, word_bounds
-from triagelake.llm.packed import binary, bucket_count, bucket_of, cut, planes, unplanes
+from triagelake.llm.packed import binary, bucket_count, bucket_of, cut, in_order, planes, unplanes
 
 WINDOW, BLOCK = 50, 25
 #: Bytes of text whose windows are packed together.
@@ -266,7 +266,7 @@ def removed_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Dat
     own = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), text_key().alias("t"))
     hits = own.mapInArrow(_probe(n, window, block), _PACKED).groupBy("key").applyInArrow(_answer, _PACKED)
     starts = hits.groupBy("key").applyInArrow(_starts, "d bigint, t bigint, starts binary").groupBy("d", "t").agg(F.first("starts").alias("starts"))
-    found = own.join(starts.hint("shuffle_hash"), ["d", "t"]).select("text", "d", "t", "starts")
+    found = in_order(own.join(starts.hint("shuffle_hash"), ["d", "t"]).select("text", "d", "t", "starts"))
     far = found.mapInArrow(_extend(n, window, block), _PACKED).groupBy("key").applyInArrow(_smaller, _PACKED)
     spans = far.groupBy("key").applyInArrow(_spans(window), "d bigint, t bigint, spans binary").groupBy("d", "t").agg(F.first("spans").alias("spans"))
     return own, spans

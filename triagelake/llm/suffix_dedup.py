@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from triagelake.llm.common import blocks, byte_values, mix, prefix_sums, ragged, range_hash, table, text_key
 from triagelake.llm.lyndon_sa import suffix_arrays
-from triagelake.llm.packed import binary, bucket_count, bucket_of, cut, planes, unplanes
+from triagelake.llm.packed import binary, bucket_count, bucket_of, cut, in_order, planes, unplanes
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose anchors and segments are packed together.
@@ -392,7 +392,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Dat
     own = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), text_key().alias("t"))
     met = own.mapInArrow(_probe(n, length), _PACKED).groupBy("key").applyInArrow(_repeated, _PACKED)
     starts = met.groupBy("key").applyInArrow(_starts, "d bigint, t bigint, starts binary").groupBy("d", "t").agg(F.first("starts").alias("starts"))
-    found = own.join(starts.hint("shuffle_hash"), ["d", "t"]).select("text", "d", "t", "starts")
+    found = in_order(own.join(starts.hint("shuffle_hash"), ["d", "t"]).select("text", "d", "t", "starts"))
     runs = found.mapInArrow(_segments(n, length), _PACKED).groupBy("key").applyInArrow(_classes(length), _PACKED)
     spans = runs.groupBy("key").applyInArrow(_spans(length), "d bigint, t bigint, spans binary").groupBy("d", "t").agg(F.first("spans").alias("spans"))
     return own, spans
