@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,10 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
-_MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TABLES: dict[str, np.ndarray] = {}
+_A = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first n bytes
+#: Ranges of more bytes are hashed and compared one by one.
+_LONG = 64
 
 #: Bytes of text that one round of numpy work takes; bounds a worker's memory.
 BLOCK_BYTES = 1 << 20
@@ -33,17 +34,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one in a local run or a test, and only there."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for what outlives a lost one")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="triagelake-scratch-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the folder that the cluster names; survives lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None:  # a local run or a test
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="triagelake-checkpoint-")
-        sc.setCheckpointDir(place)
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint()
 
 
@@ -57,17 +64,6 @@ def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash multiplier and of its inverse modulo 2**64, at least n of each."""
-    if "p" not in _TABLES or len(_TABLES["p"]) < n:
-        m = max(n, BLOCK_BYTES + 1)
-        for key, base in (("p", _MULT), ("i", _INV)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _TABLES[key] = np.cumprod(a)
-    return _TABLES["p"], _TABLES["i"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -75,22 +71,88 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values weighted with powers, so that any range's hash is one subtraction."""
-    p, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[: len(values)], out=out[1:])
-    return out
-
-
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges [start, end) of what the sums were made of; equal ranges, equal hashes."""
-    _, inv = powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+def eights(data: np.ndarray) -> np.ndarray:
+    """For every position the eight bytes from there as one number, zeros past the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.uint64, padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), eight bytes a round; XXH64 of the long ones.
+
+    Every byte passes through the mixer after those before it, so no repetitive text makes two contents equal by
+    structure, as it does for sums of powers modulo 2**64.
+    """
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + _A)
+    view, done = eights(data), 0
+    live = np.flatnonzero((n > 0) & (n <= _LONG))
+    while len(live):
+        left = n[live] - done
+        h[live] = mix(h[live] * _A ^ (view[starts[live] + done] & _LOW[np.minimum(left, 8)]))
+        live, done = live[left > 8], done + 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], 7)
+    return h
+
+
+def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _A + right)
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every width neighbouring values, joined from windows of half the size."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, have, level, size = None, 0, h, 1
+    while True:
+        if width // size % 2:
+            out = level if out is None else join_hashes(out[: len(level) - have], level[have:])
+            have += size
+        if have == width:
+            return out[:n]
+        level, size = join_hashes(level[:-size], level[size:]), 2 * size
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a are those from b, byte by byte."""
+    ok = np.ones(len(a), bool)
+    view, done = eights(data), 0
+    live = np.flatnonzero((n > 0) & (n <= 4 * _LONG))
+    while len(live):
+        left = n[live] - done
+        same = (view[a[live] + done] ^ view[b[live] + done]) & _LOW[np.minimum(left, 8)] == 0
+        ok[live[~same]] = False
+        live, done = live[same & (left > 8)], done + 8
+    for i in np.flatnonzero(n > 4 * _LONG).tolist():
+        ok[i] = np.array_equal(data[a[i] : a[i] + n[i]], data[b[i] : b[i] + n[i]])
+    return ok
+
+
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back): one range of each content, and for every range the place of its content; the bytes decide."""
+    return distinct_runs(data, starts, ends, range_hashes(data, starts, ends))
+
+
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As distinct_ranges, for ranges that are equal only if their keys are."""
+    _, first, back = np.unique(key, return_index=True, return_inverse=True)
+    lead, n = first[back], ends - starts
+    check = np.flatnonzero(lead != np.arange(len(lead)))
+    to = lead[check]
+    same = n[check] == n[to]
+    same[same] = equal_ranges(data, starts[check[same]], starts[to[same]], n[check[same]])
+    if not same.all():  # equal keys of unequal bytes: a group for each further content
+        more: dict = {}
+        for i in check[~same].tolist():
+            back[i] = len(first) + more.setdefault((int(key[i]), data[starts[i] : ends[i]].tobytes()), len(more))
+        new = np.full(len(more), len(starts))
+        late = check[~same]
+        np.minimum.at(new, back[late] - len(first), late)
+        first = np.concatenate([first, new])
+    return first, back
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import TO_LOWER, blocks, byte_values, prefix_sums, ragged, range_hash, table, word_bounds
+from triagelake.llm.common import TO_LOWER, blocks, ragged, range_hashes, table, window_hashes, word_bounds
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 24
 SLICE_BYTES = 16 << 20
@@ -40,7 +40,7 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum(keep)])
     data, offs = TO_LOWER[data[keep]], at[offs]
     starts, ends, row = word_bounds(data, offs)
-    return range_hash(prefix_sums(byte_values(data)), starts, ends), row
+    return range_hashes(data, starts, ends), row
 
 
 def _shingles(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ def _shingles(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarra
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(row[width - 1 :] == row[:n])
-    return range_hash(prefix_sums(words), at, at + width), at
+    return window_hashes(words, width)[at], at
 
 
 def _signs(h: np.ndarray) -> np.ndarray:

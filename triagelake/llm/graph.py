@@ -9,33 +9,35 @@ from triagelake.llm.common import checkpoint
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of edges (a, b).
+    """(node, root): the smallest node reachable, for each node of the edges (a, b); nulls and loops are left out.
 
-    Contracts the graph round by round: every node points to its smallest neighbour, pointers are followed
-    once more, edges move to their ends' new nodes and equal edges merge.  A round removes every node that
-    has a smaller neighbour, so a few rounds do.  A cluster's node may be the end of many edges; joins on it
-    are plain sort-merge joins, which adaptive execution splits.
+    Contraction by rounds.  Each node points to whichever of its neighbours and itself comes first in an order by hash,
+    and pointers are followed once more.  Edges move to where their ends point, equal ones merge and loops go.  In that
+    order at most about half of the nodes of any chain are pointed to, and a star is gone in two rounds, so rounds grow
+    with the logarithm of the longest chain, however the names ascend.  Every round's pointers are a checkpointed table
+    over the nodes that are left, so neither a plan nor the sum of the tables grows with the rounds.  Answers run back
+    through these tables, one join each.  A hub only ever reaches an aggregate with partial sums and a sort-merge join,
+    which adaptive execution splits.
     """
     left = checkpoint(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    maps: list[DataFrame] = []
+    rounds: list[DataFrame] = []
+    place = lambda c: F.xxhash64(F.col(c))
     while not left.isEmpty():
-        up = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))  # strictly smaller: a forest
-        hop = up.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        up = checkpoint(up.join(hop, "to", "left").select("node", F.coalesce("far", "to").alias("to")))
-        maps.append(up)
-        ends = left.join(up.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a", "left").join(
-            up.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b", "left"
-        ).select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y"))
-        left = checkpoint(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
-    out = None
-    for up in reversed(maps):
-        if out is None:
-            out = up.select("node", F.col("to").alias("root"))
-            continue
-        lifted = up.join(out.select(F.col("node").alias("to"), "root"), "to", "left").select("node", F.coalesce("root", "to").alias("root"))
-        out = lifted.unionByName(out.join(lifted.select("node"), "node", "left_anti"))
-    if out is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    # a target that was renamed in the same round is renamed again later; the first entry of a node leads to the same root
-    roots = out.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return out.unionByName(roots.join(out.select("node"), "node", "left_anti"))
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        first = both.groupBy("node").agg(F.min_by("other", place("other")).alias("other"))
+        before = (place("other") < place("node")) | (place("other") == place("node")) & (F.col("other") < F.col("node"))
+        hop = checkpoint(first.select("node", F.when(before, F.col("other")).otherwise(F.col("node")).alias("to")))
+        far = hop.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        hop = checkpoint(hop.join(far, "to").select("node", F.col("far").alias("to")))
+        rounds.append(hop)
+        a, b = (hop.select(F.col("node").alias(c), F.col("to").alias(f"t{c}")) for c in "ab")
+        moved = left.join(a, "a").join(b, "b").where("ta <> tb")
+        left = checkpoint(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = rounds.pop()
+    for hop in reversed(rounds):  # where a round points to lives on in the next one, or was a component's last node
+        later = out.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        out = checkpoint(hop.join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to")))
+    least = out.groupBy("to").agg(F.min("node").alias("root"))
+    return out.join(least, "to").select("node", "root")

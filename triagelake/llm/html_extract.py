@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import TO_LOWER, byte_values, prefix_sums, range_hash, table, word_bounds
+from triagelake.llm.common import TO_LOWER, range_hashes, table, word_bounds
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))", re.DOTALL)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -134,7 +134,7 @@ def features(pages: list[list]) -> tuple[list, np.ndarray, list]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
     starts, ends, row = word_bounds(data, offs)
-    h = range_hash(prefix_sums(byte_values(TO_LOWER[data])), starts, ends)
+    h = range_hashes(TO_LOWER[data], starts, ends)
     size = np.diff(offs)
     flat = [b for blocks in pages for b in blocks]
     n_words = np.bincount(row, minlength=len(flat))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, byte_values, prefix_sums, ragged, range_hash, table
+from triagelake.llm.common import blocks, distinct_ranges, ragged, table
 
 BLANK = "▁"
 #: Bytes of text encoded at once: the more, the more often a unit is shared.
@@ -206,7 +206,7 @@ def encode_block(p: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]
     before[offs[:-1][lens > 0]] = False
     starts = np.flatnonzero(gap & ~before)
     ends = np.append(starts[1:], len(data))
-    _, first, back = np.unique(range_hash(prefix_sums(byte_values(data)), starts, ends), return_index=True, return_inverse=True)
+    first, back = distinct_ranges(data, starts, ends)
     flat = data[ragged(starts[first], (ends - starts)[first])]
     unit = np.repeat(np.arange(len(first)), (ends - starts)[first])[(flat & 0xC0) != 0x80]
     code = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)

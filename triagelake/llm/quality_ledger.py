@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import IS_SPACE, blocks, byte_values, prefix_sums, range_hash, table, word_bounds
+from triagelake.llm.common import IS_SPACE, blocks, distinct_ranges, table, word_bounds
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -71,7 +71,6 @@ def measure_block(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     n_words = np.bincount(doc, minlength=n)
     chars = _sums(solid & ((data & 0xC0) != 0x80), offs)
     symbols = _sums(_SYMBOL[data], offs)
-    sums = prefix_sums(byte_values(data))
     # lines: cut at line feeds and at row ends
     cuts = np.flatnonzero(data == 10)
     begin = np.sort(np.concatenate([offs[:-1], cuts + 1]), kind="stable")
@@ -80,14 +79,15 @@ def measure_block(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     full = words_to[stop] > words_to[begin]
     begin, stop = begin[full], stop[full]
     line_doc = np.searchsorted(offs, begin, "right") - 1
-    _, again = _repeats(line_doc, range_hash(sums, begin, stop))
+    _, again = _repeats(line_doc, distinct_ranges(data, begin, stop)[1])
     n_lines = np.bincount(line_doc, minlength=n)
     dup_lines = np.bincount(line_doc[again], minlength=n)
     repeat = np.zeros(n, np.int64)
     if len(starts) > 2:
-        h = range_hash(sums, starts, ends)
+        word = distinct_ranges(data, starts, ends)[1]
         at = np.flatnonzero(doc[2:] == doc[:-2])
-        tri = range_hash(prefix_sums(h), at, at + 3)
+        pair = np.unique(word[at] << 32 | word[at + 1], return_inverse=True)[1]
+        tri = pair << 32 | word[at + 2]
         many, _ = _repeats(doc[at], tri)
         hit = at[many]
         cover = np.zeros(len(starts), bool)

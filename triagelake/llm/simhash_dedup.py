@@ -64,8 +64,10 @@ def fingerprints(docs: DataFrame, width: int = 3, columns: tuple[str, ...] = ("d
 
 
 def variants(fp, radius: int):
-    """Array of all 64-bit words within half the radius of fp (rounded up, for an odd radius)."""
-    masks, rings = {0}, (radius + 1) // 2
+    """Array of all 64-bit words within half the radius of fp."""
+    if radius % 2:
+        raise ValueError("the radius must be even: at an odd one, fingerprints that meet may be farther apart than the radius")
+    masks, rings = {0}, radius // 2
     for _ in range(rings):
         masks |= {m ^ (1 << b) for m in masks for b in range(BITS)}
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in sorted(masks)]
@@ -85,7 +87,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, columns: t
     marked = fingerprints(docs, width, columns)
     marked = checkpoint(marked)
     first = marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
-    root = components(links(first.select("fp"), radius))
+    # each fingerprint becomes a row a variant, so these few bytes are dealt to all tasks first
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    root = components(links(first.select("fp").repartition(parts, "fp"), radius))
     named = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     by_fp = named.join(least, "root").select("fp", "component")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, byte_values, prefix_sums, ragged, range_hash, table, text_key, word_bounds
+from triagelake.llm.common import blocks, ragged, range_hashes, table, text_key, window_hashes, word_bounds
 from triagelake.llm.packed import binary, bucket_count, bucket_of, cut, in_order, planes, unplanes
 
 WINDOW, BLOCK = 50, 25
@@ -39,7 +39,7 @@ def _word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     col = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
     for a, b, d, o in blocks(col):
         s, e, row = word_bounds(d, o)
-        hashes.append(range_hash(prefix_sums(byte_values(d)), s, e))
+        hashes.append(range_hashes(d, s, e))
         counts[a + 1 : b + 1] = np.bincount(row, minlength=b - a)
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
@@ -48,7 +48,7 @@ def _windows(h: np.ndarray, first: np.ndarray, size: int, least: int) -> tuple[n
     """Start words and hashes of all windows of size words within rows of at least least words."""
     n = np.diff(first)
     at = ragged(first[:-1], np.where(n >= least, n - size + 1, 0))
-    return at, range_hash(prefix_sums(h), at, at + size)
+    return at, window_hashes(h, size)[at]
 
 
 def _probe(buckets: int, window: int, block: int):
@@ -178,7 +178,6 @@ def _extend(buckets: int, window: int, block: int):
             for a, b, data, offs in blocks(batch.column(0), PACK_BYTES):
                 part = batch.slice(a, b - a)
                 h, first = _word_hashes(data, offs)
-                sums = prefix_sums(h)
                 doc, key = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
                 rows, places = [], []
                 for i, s in enumerate(part.column(3).to_pylist()):
@@ -194,7 +193,7 @@ def _extend(buckets: int, window: int, block: int):
                 if not len(row):
                     continue
                 name += 1
-                w = range_hash(sums, first[row] + place, first[row] + place + window)
+                w = window_hashes(h, window)[first[row] + place]
                 values, back = np.unique(w, return_inverse=True)
                 least = np.full(len(values), NO_ID)
                 np.minimum.at(least, back, doc[row])

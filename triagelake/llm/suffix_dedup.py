@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, byte_values, mix, prefix_sums, ragged, range_hash, table, text_key
+from triagelake.llm.common import blocks, distinct_runs, eights, equal_ranges, join_hashes, mix, ragged, range_hashes, table, text_key
 from triagelake.llm.lyndon_sa import suffix_arrays
 from triagelake.llm.packed import binary, bucket_count, bucket_of, cut, in_order, planes, unplanes
 
@@ -59,7 +59,9 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[n
     for x in range(0, max(len(data) - length + 1, 0), SLICE):
         part = data[x : x + SLICE + length - 1]
         at = np.arange(len(part) - GRAM + 1)
-        g = range_hash(prefix_sums(byte_values(part)), at, at + GRAM)
+        g = np.ascontiguousarray(eights(part)[:-1])
+        g = join_hashes(g[:-8], g[8:])
+        g = join_hashes(g[:-16], g[16:])[: len(at)]
         a = (_smallest((g & ~np.uint64((1 << 21) - 1)) | at.astype(np.uint64), grams) & np.uint64((1 << 21) - 1)).astype(np.int64)
         # windows must lie in one row: those within length - 1 bytes before a row's end, but the row's own, do not
         inside = np.ones(len(a), bool)
@@ -89,11 +91,17 @@ def _split(start: np.ndarray, count: np.ndarray, off: np.ndarray, size: int) ->
     return run, off[run] - top, top - bottom + 1, top
 
 
-def _core(sums: np.ndarray, gram: np.ndarray, off: np.ndarray, size: int, length: int) -> np.ndarray:
+def _core(data: np.ndarray, gram: np.ndarray, off: np.ndarray, size: int, length: int) -> np.ndarray:
     """Hash of the bytes that all windows of the offsets' band share, for windows around grams at gram."""
     low = off // size * size
     high = np.minimum(low + size - 1, length - GRAM)
-    return mix(range_hash(sums, gram - low, gram - high + length) + low.astype(np.uint64))
+    return mix(range_hashes(data, gram - low, gram - high + length) + low.astype(np.uint64))
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, count: np.ndarray, off: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """One run of each (key, offset, bytes), and every run's place among them; equal bytes, not only equal hashes."""
+    end = start + count + length - 1
+    return distinct_runs(data, start, end, mix(key ^ mix(range_hashes(data, start, end) + off.astype(np.uint64))))
 
 
 def window_classes(data: np.ndarray, start: np.ndarray, count: np.ndarray, off: np.ndarray, key: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -103,14 +111,12 @@ def window_classes(data: np.ndarray, start: np.ndarray, count: np.ndarray, off:
     """
     base = np.cumsum(count) - count
     cls = np.arange(int(count.sum()))
-    sums = prefix_sums(byte_values(data))
     todo = [(start, count, off, base, key, 1 << (length - GRAM).bit_length())]
     twins: list[tuple] = []
     while todo:
         start, count, off, base, key, size = todo.pop()
-        own = mix(key ^ mix(range_hash(sums, start, start + count + length - 1) + off.astype(np.uint64)))
-        _, pick, back = np.unique(own, return_index=True, return_inverse=True)
-        twin = np.flatnonzero(pick[back] != np.arange(len(own)))
+        pick, back = _distinct(data, start, count, off, key, length)
+        twin = np.flatnonzero(pick[back] != np.arange(len(back)))
         twins.append((base[twin], base[pick[back[twin]]], count[twin]))
         pick = pick[np.argsort(key[pick], kind="stable")]
         start, count, off, base, key = start[pick], count[pick], off[pick], base[pick], key[pick]
@@ -122,7 +128,7 @@ def window_classes(data: np.ndarray, start: np.ndarray, count: np.ndarray, off:
             half = size // 2
             run, skip, n2, o2 = _split(s, n, o, half)
             s2 = s[run] + skip
-            todo.append((s2, n2, o2, b[run] + skip, mix(key[large][run] + _core(sums, s2 + o2, o2, half, length)), half))
+            todo.append((s2, n2, o2, b[run] + skip, mix(key[large][run] + _core(data, s2 + o2, o2, half, length)), half))
         some = np.flatnonzero((width > 1) & (width <= MAX_SEGMENTS))
         size_of = np.add.reduceat(count + length, x)[some] if len(x) else np.zeros(0, np.int64)
         some, size_of = some[np.argsort(size_of)], np.sort(size_of)
@@ -155,9 +161,13 @@ def _order(data, start, count, base, runs, width, cls, length) -> None:
     window = np.full(len(sym), -1)
     window[ragged(to - n, count[runs])] = ragged(base[runs], count[runs])
     sa = sa[window[sa] >= 0]
-    h = range_hash(prefix_sums(mix(sym.astype(np.uint64) + np.uint64(1))), sa, sa + length)
+    # neighbours of one group with a common prefix of length or more are one class
     group = np.searchsorted(begin, sa, "right")
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])])
+    byte = np.zeros(len(sym), np.int64)
+    byte[ragged(to - n, n - 1)] = ragged(start[runs], n - 1)
+    text = byte[sa]
+    new = np.ones(len(sa), bool)
+    new[1:] = (group[1:] != group[:-1]) | ~equal_ranges(data, text[1:], text[:-1], np.full(max(len(sa) - 1, 0), length))
     cls[window[sa]] = window[sa][np.flatnonzero(new)[np.cumsum(new) - 1]]
 
 
@@ -271,17 +281,15 @@ def _segments(buckets: int, length: int):
                 if not len(hit):
                     continue
                 start, count, gram, key = start[hit], count[hit], gram[hit], key[hit]
-                sums = prefix_sums(byte_values(data))
                 hot = kind[gram] == 2
                 run_, skip, n, off = _split(start[hot], count[hot], (gram - start)[hot], HOT_OFFSETS)
-                core = mix(key[hot][run_] + _core(sums, gram[hot][run_], off, HOT_OFFSETS, length))
+                core = mix(key[hot][run_] + _core(data, gram[hot][run_], off, HOT_OFFSETS, length))
                 off = np.concatenate([(gram - start)[~hot], off])
                 start = np.concatenate([start[~hot], start[hot][run_] + skip])
                 count = np.concatenate([count[~hot], n])
                 key = np.concatenate([mix(key[~hot]), core])
-                own = mix(key ^ mix(range_hash(sums, start, start + count + length - 1) + off.astype(np.uint64)))
                 bucket = bucket_of(key, buckets)
-                _, pick, back = np.unique(own, return_index=True, return_inverse=True)
+                pick, back = _distinct(data, start, count, off, key, length)
                 order = np.argsort(bucket[pick], kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))

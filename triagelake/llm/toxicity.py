@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, prefix_sums, ragged, range_hash, table, word_bounds
+from triagelake.llm.common import blocks, distinct_ranges, ragged, table, word_bounds
 
 MAX_PER_CLASS = {1: 800, 0: 2000}  # training documents of each label
 MAX_LANDMARKS = 48
@@ -41,7 +41,6 @@ _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
 for _digit, _letter in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}.items():
     _CODE[ord(_digit)] = ord(_letter) - 96
-_VALUE = np.random.default_rng(99).integers(1, 1 << 63, 28, dtype=np.uint64)
 
 
 def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +187,7 @@ class Model:
             return out
         letters, first, length, row = word_codes(data, offs)
         if len(first):
-            _, one, back = np.unique(range_hash(prefix_sums(_VALUE[letters]), first, first + length), return_index=True, return_inverse=True)
+            one, back = distinct_ranges(letters, first, first + length)
             some, f = self.marks.features(letters, first[one], length[one])
             value = np.full(len(one), self.bias)
             value[some] += f @ self.alpha
