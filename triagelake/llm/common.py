@@ -54,6 +54,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def leading(df: DataFrame, column: str, rest: list[str] | None = None) -> DataFrame:
+    """The column under a name that no other has, then the rest (all columns, unless named)."""
+    rest = df.columns if rest is None else rest
+    name = "_in"
+    while name.lower() in {c.lower() for c in rest}:
+        name += "_"
+    return df.select(F.col(f"`{column}`").alias(name), *[F.col(f"`{c}`") for c in rest])
+
+
 def text_key(text=None):
     """64-bit hash of a whole text; together with doc_id it names a row's content."""
     return F.xxhash64(F.coalesce(text if text is not None else F.col("text"), F.lit("")))

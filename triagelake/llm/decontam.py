@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import TO_LOWER, blocks, ragged, range_hashes, table, window_hashes, word_bounds
+from triagelake.llm.common import TO_LOWER, blocks, leading, ragged, range_hashes, table, window_hashes, word_bounds
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 24
 SLICE_BYTES = 16 << 20
@@ -224,7 +224,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for items in _slices(benchmark):
-        docs = docs.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(clean(items), docs.schema)
+        docs = leading(docs, "text").mapInArrow(clean(items), docs.schema)
     return docs
 
 

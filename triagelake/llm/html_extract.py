@@ -7,6 +7,8 @@ as main text or not with the whole page as context.  Blocks labelled main text a
 The labeller is trained here, on generated pages whose blocks are labelled by construction (article text against
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments), never on the pages it reads.
 
+A page costs time and memory in proportion to its length, however deep its elements lie and however many blocks it has.
+
 Edge cases: null and empty html give an empty text; tags cut off at the end of a page are markup; unclosed tags
 are closed by what surrounds them; every block is labelled, however many there are; repeated rows each come out;
 further columns are carried, except those named text and n_chars; an empty table gives an empty table.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import TO_LOWER, range_hashes, table, word_bounds
+from triagelake.llm.common import TO_LOWER, blocks, leading, range_hashes, table, word_bounds
+
+#: Bytes of html labelled together.
+PAGE_BYTES = 4 << 20
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|/?[a-zA-Z][^>]*(?:>|\Z))", re.DOTALL)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -38,12 +44,49 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of the page's blocks, in page order."""
+PATH_ROWS, WORD_ROWS, PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 512, 256, 16, 6, 6, 16
+
+
+@lru_cache(1 << 16)
+def _bucket(name: str) -> int:
+    """The row of the path table for a name: the 64-bit FNV-1a hash."""
+    h = 14695981039346656037
+    for c in name.encode():
+        h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+    return (h >> 20) % PATH_ROWS
+
+
+class _Open:
+    """An open element: the path rows of all elements down to it, and those with its own names again as the last one's.
+
+    Rows are distinct places of a table of fixed size, so an element costs no more the deeper it lies, and one that
+    brings no new row shares its parent's.
+    """
+
+    __slots__ = ("rows", "known", "last", "full")
+
+    def __init__(self, rows: tuple[int, ...] = (), known: frozenset[int] = frozenset(), names: tuple[str, ...] = ("none",)):
+        self.rows, self.known, self.full = rows, known, None
+        self.last = tuple(dict.fromkeys(_bucket("last:" + x) for x in names))
+
+    def child(self, names: tuple[str, ...]) -> _Open:
+        new = tuple(r for r in dict.fromkeys(map(_bucket, names)) if r not in self.known)
+        return _Open(self.rows + new, self.known | frozenset(new), names) if new else _Open(self.rows, self.known, names)
+
+    def path(self) -> tuple[int, ...]:
+        if self.full is None:
+            self.full = self.rows + tuple(r for r in self.last if r not in self.known)
+        return self.full
+
+
+def leaves(page: str) -> list[tuple[tuple[int, ...], str, int]]:
+    """(path rows, text, characters inside links) of the page's blocks, in page order; time and memory linear in the page."""
     out: list = []
-    stack: list[tuple[str, str]] = []
+    root = _Open()
+    stack: list[tuple[str, _Open]] = []  # an inline element has its block's node
+    depth: Counter[str] = Counter()
     buffer: list[str] = []
-    path: tuple[str, ...] = ()
+    path: tuple[int, ...] = ()
     linked = links = at = 0
 
     def flush():
@@ -54,15 +97,18 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 out.append((path, text, linked))
             buffer, linked = [], 0
 
+    def pop() -> None:
+        depth[stack.pop()[0]] -= 1
+
     def close(names) -> None:
         while stack and stack[-1][0] in names:
-            stack.pop()
+            pop()
 
     m = _TAG.search(page)
     while m:
         if m.start() > at:
             if not buffer:
-                path = tuple(x for n, x in stack if n not in _INLINE)
+                path = (stack[-1][1] if stack else root).path()
             buffer.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
@@ -73,10 +119,10 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 links = max(0, links - 1)
             if tag not in _INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if depth[tag] > 0:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
         elif tag:
             if tag in _RAW and not m.group().endswith("/>"):
                 flush()
@@ -91,17 +137,21 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if tag not in _INLINE:
                     flush()
                     while stack and stack[-1][0] in _INLINE:  # an open inline element ends with its block
-                        stack.pop()
+                        pop()
                     links = 0
                     if tag in _P_ENDS:
                         close(("p",))
                     close(_CLOSES.get(tag, ()))
-                names = " ".join(x for g in _ATTR.findall(m.group(3) or "") for x in g if x).lower()
-                stack.append((tag, ".".join([tag, *_NAME.findall(names)])))
+                node = stack[-1][1] if stack else root
+                if tag not in _INLINE:
+                    names = " ".join(x for g in _ATTR.findall(m.group(3) or "") for x in g if x).lower()
+                    node = node.child((tag, *_NAME.findall(names)))
+                stack.append((tag, node))
+                depth[tag] += 1
         m = _TAG.search(page, at)
     if at < len(page):
         if not buffer:
-            path = tuple(x for n, x in stack if n not in _INLINE)
+            path = (stack[-1][1] if stack else root).path()
         buffer.append(page[at:])
     flush()
     return out
@@ -109,40 +159,21 @@ def leaves(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 # ---- the labeller
 
-PATH_ROWS, WORD_ROWS, PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 512, 256, 16, 6, 6, 16
-_HASH = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _bucket(name: str, rows: int) -> int:
-    h = 1469598103934665603
-    for c in name.encode():
-        h = ((h ^ c) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return (h >> 20) % rows
-
-
-@lru_cache(1 << 16)
-def path_rows(path: tuple[str, ...]) -> tuple[int, ...]:
-    """Rows of the path table for a tag path: every element's names, and the last one's again."""
-    names = [x for part in path for x in part.split(".")]
-    names += ["last:" + x for x in (path[-1].split(".") if path else ["none"])]
-    return tuple(_bucket(x, PATH_ROWS) for x in dict.fromkeys(names))
-
-
 def features(pages: list[list]) -> tuple[list, np.ndarray, list]:
     """Flat features of all blocks of some pages: path rows, shape figures, and (word rows, block) pairs."""
-    texts = [t.encode("utf-8", "surrogatepass") for blocks in pages for _, t, _ in blocks]
+    texts = [t.encode("utf-8", "surrogatepass") for page in pages for _, t, _ in page]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
     starts, ends, row = word_bounds(data, offs)
     h = range_hashes(TO_LOWER[data], starts, ends)
     size = np.diff(offs)
-    flat = [b for blocks in pages for b in blocks]
+    flat = [b for page in pages for b in page]
     n_words = np.bincount(row, minlength=len(flat))
     place = np.concatenate([np.arange(len(b)) / max(1, len(b)) for b in pages]) if pages else np.zeros(0)
     linked = np.array([x for _, _, x in flat], float) / np.maximum(size, 1)
     stop = np.array([t[-1:] in (b".", b"!", b"?") for t in texts], float)
     shape = np.column_stack([np.log1p(size) / 8, np.log1p(n_words) / 6, np.minimum(linked, 1.0), stop, place, np.ones(len(flat))])
-    return [path_rows(p) for p, _, _ in flat], shape, [(h >> np.uint64(13)) % np.uint64(WORD_ROWS), row]
+    return [p for p, _, _ in flat], shape, [(h >> np.uint64(13)) % np.uint64(WORD_ROWS), row]
 
 
 class Labeller:
@@ -159,13 +190,14 @@ class Labeller:
         count = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.fromiter((x for r in rows for x in r), np.int64, int(count.sum()))
         path = np.add.reduceat(self.w["path"][flat], np.cumsum(count) - count, axis=0) / np.sqrt(count)[:, None] if len(rows) else np.zeros((0, PATH_DIM))
-        bag = np.bincount(of * WORD_ROWS + word.astype(np.int64), minlength=len(rows) * WORD_ROWS).reshape(-1, WORD_ROWS).astype(np.float32)
-        bag /= np.maximum(bag.sum(axis=1, keepdims=True), 1)
-        self._last = (flat, count, bag)
-        return np.concatenate([path, bag @ self.w["word"], shape], axis=1).astype(np.float32)
-
-    def _lstm(self, x: np.ndarray, way: str):
-        """x: time, batch, inputs. Hidden states, and what the backward pass needs."""
+        n_words = np.maximum(np.bincount(of, minlength=len(rows)), 1)
+        own = self.w["word"][word.astype(np.int64)]
+        bag = np.stack([np.bincount(of, own[:, k], len(rows)) for k in range(WORD_DIM)], axis=1) / n_words[:, None]
+        self._last = (flat, count, n_words)
+        return np.concatenate([path, bag, shape], axis=1).astype(np.float32)
+
+    def _lstm(self, x: np.ndarray, way: str, keep: bool):
+        """x: time, batch, inputs. Hidden states and, if kept, what the backward pass needs."""
         t, b, _ = x.shape
         pre = x @ self.w[way + "x"] + self.w[way + "0"]
         h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
@@ -177,7 +209,8 @@ class Labeller:
             g = np.tanh(z[:, 3 * HIDDEN :])
             new = f * c + i * g
             th = np.tanh(new)
-            kept.append((f, i, o, g, c, th, h))
+            if keep:
+                kept.append((f, i, o, g, c, th, h))
             h, c = o * th, new
             out[k] = h
         return out, kept
@@ -204,12 +237,12 @@ class Labeller:
         time = np.arange(len(page)) - np.repeat(np.cumsum(lens) - lens, lens)
         return page, time, np.repeat(lens, lens) - 1 - time
 
-    def run(self, x: np.ndarray, lens: np.ndarray):
+    def run(self, x: np.ndarray, lens: np.ndarray, keep: bool = False):
         page, time, back = self._grid(lens)
         grid = np.zeros((2, int(lens.max()), len(lens), x.shape[1]), np.float32)
         grid[0, time, page], grid[1, back, page] = x, x
-        hf, kf = self._lstm(grid[0], "f")
-        hb, kb = self._lstm(grid[1], "b")
+        hf, kf = self._lstm(grid[0], "f", keep)
+        hb, kb = self._lstm(grid[1], "b", keep)
         joint = np.concatenate([hf[time, page], hb[back, page], x], axis=1)
         return joint @ self.w["out"] + self.w["bias"], (page, time, back, grid, hf, kf, hb, kb, joint)
 
@@ -242,9 +275,11 @@ class Labeller:
                 group = [pages[k] for k in pick]
                 y = np.concatenate([labels[k] for k in pick]).astype(np.float32)
                 lens = np.array([len(g) for g in group])
-                x = self.inputs(features(group))
-                flat, count, bag = self._last
-                z, (page, time, back, grid, hf, kf, hb, kb, joint) = self.run(x, lens)
+                feats = features(group)
+                x = self.inputs(feats)
+                flat, count, n_words = self._last
+                word, of = feats[2]
+                z, (page, time, back, grid, hf, kf, hb, kb, joint) = self.run(x, lens, keep=True)
                 dz = (1 / (1 + np.exp(-z)) - y) / len(y)
                 grad = {k: np.zeros_like(v) for k, v in self.w.items()}
                 grad["out"], grad["bias"] = joint.T @ dz, dz.sum(keepdims=True)
@@ -255,7 +290,8 @@ class Labeller:
                 dx = dj[:, 2 * HIDDEN :] + gf[time, page] + gb[back, page]
                 each = np.repeat(dx[:, :PATH_DIM] / np.sqrt(count)[:, None], count, axis=0)
                 grad["path"] = np.stack([np.bincount(flat, each[:, k], PATH_ROWS) for k in range(PATH_DIM)], axis=1).astype(np.float32)
-                grad["word"] = bag.T @ dx[:, PATH_DIM : PATH_DIM + WORD_DIM]
+                each = (dx[:, PATH_DIM : PATH_DIM + WORD_DIM] / n_words[:, None])[of]
+                grad["word"] = np.stack([np.bincount(word.astype(np.int64), each[:, k], WORD_ROWS) for k in range(WORD_DIM)], axis=1).astype(np.float32)
                 step += 1
                 for k, g in grad.items():
                     m1[k] += 0.1 * (g - m1[k])
@@ -356,9 +392,9 @@ def trained(pages: int = 500) -> Labeller:
     made = []
     while len(made) < pages:
         page, y = training_page(r)
-        blocks = leaves(page)
-        if len(blocks) == len(y):
-            made.append((blocks, y))
+        found = leaves(page)
+        if len(found) == len(y):
+            made.append((found, y))
     model = Labeller()
     model.fit([b for b, _ in made], [y for _, y in made])
     return model
@@ -366,7 +402,7 @@ def trained(pages: int = 500) -> Labeller:
 
 def main_text(model: Labeller, pages: list[str]) -> list[str]:
     found = [leaves(p) for p in pages]
-    return ["\n".join(t for (_, t, _), y in zip(blocks, keep) if y) for blocks, keep in zip(found, model.label(found))]
+    return ["\n".join(t for (_, t, _), y in zip(page, keep) if y) for page, keep in zip(found, model.label(found))]
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -375,16 +411,15 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = main_text(model.value, [p or "" for p in part.column(0).to_pylist()])
+            for a, b, data, offs in blocks(batch.column(0), PAGE_BYTES):
+                part, raw = batch.slice(a, b - a), data.tobytes()
+                texts = main_text(model.value, [raw[x:y].decode() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())])
                 texts = [t.encode("utf-8", "replace").decode() for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*part.schema.names[1:], "text", "n_chars"])
 
     rest = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in (column, "text", "n_chars")])
     fields = "".join(f"`{c}` {t}, " for c, t in rest.dtypes)
-    src = pages.select(F.col(column).alias("_in"), *[F.col(f"`{c}`") for c in rest.columns])
-    return src.mapInArrow(run, fields + "text string, n_chars bigint")
+    return leading(pages, column, rest.columns).mapInArrow(run, fields + "text string, n_chars bigint")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, distinct_ranges, ragged, table
+from triagelake.llm.common import blocks, distinct_ranges, leading, ragged, table
 
 BLANK = "▁"
 #: Bytes of text encoded at once: the more, the more often a unit is shared.
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "ids")])
     fields = "".join(f"`{c}` {t}, " for c, t in rest.dtypes)
-    return docs.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in rest.columns]).mapInArrow(run, fields + "ids array<int>")
+    return leading(docs, "text", rest.columns).mapInArrow(run, fields + "ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -277,8 +277,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
     rest = encoded.select(*[F.col(f"`{c}`") for c in encoded.columns if c != "text"])
     fields = "".join(f"`{c}` {t}, " for c, t in rest.dtypes)
-    src = encoded.select(F.col("ids").alias("_in"), *[F.col(f"`{c}`") for c in rest.columns])
-    return src.mapInArrow(run, fields + "text string")
+    return leading(encoded, "ids", rest.columns).mapInArrow(run, fields + "text string")
 
 
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -307,8 +306,7 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in new])
     fields = "".join(f"`{c}` {t}, " for c, t in rest.dtypes)
-    src = docs.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in rest.columns])
-    return src.mapInArrow(run, fields + "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return leading(docs, "text", rest.columns).mapInArrow(run, fields + "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

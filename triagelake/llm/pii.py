@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, table
+from triagelake.llm.common import blocks, leading, table
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 17
@@ -429,8 +429,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text" and c not in new])
     fields = "".join(f"`{c}` {t}, " for c, t in rest.dtypes)
-    src = docs.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in rest.columns])
-    return src.mapInArrow(run, fields + "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return leading(docs, "text", rest.columns).mapInArrow(run, fields + "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@
 would keep without it, from one aggregation over the masked bits (at most 2**rules groups).
 
 Edge cases: a null or empty text has zero counts and fails ``few_words``; repeated rows each get their own
-entry; further columns are carried, except those named like a measurement, which are replaced.
+entry; further columns are carried, except the text and those named like a measurement or ``failed``, which are replaced
+(``kept`` by ``apply_policy``); an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import IS_SPACE, blocks, distinct_ranges, table, word_bounds
+from triagelake.llm.common import IS_SPACE, blocks, distinct_ranges, leading, table, word_bounds
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -97,7 +98,7 @@ def measure_block(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs with the measurements of its text."""
+    """docs without its text, with the measurements: the text goes to Python once and not back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,14 +106,19 @@ def measures(docs: DataFrame) -> DataFrame:
             cols = [np.concatenate(c).astype(np.int64) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, cols)], names=[*batch.schema.names[1:], *MEASURES])
 
-    rest = [c for c in docs.columns if c not in MEASURES]
-    src = docs.select(F.col("text").alias("_measured"), *[F.col(f"`{c}`") for c in rest])
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in rest]).dtypes)
-    return src.mapInArrow(run, fields + "".join(f", {m} bigint" for m in MEASURES))
+    rest = [c for c in docs.columns if c != "text" and c not in MEASURES]
+    fields = "".join(f"`{c}` {t}, " for c, t in docs.select(*[F.col(f"`{c}`") for c in rest]).dtypes)
+    return leading(docs, "text", rest).mapInArrow(run, fields + ", ".join(f"{m} bigint" for m in MEASURES))
+
+
+def write_ledger(docs: DataFrame, path: str) -> DataFrame:
+    """Stores the ledger of docs at path and reads it back: policies and ablations then touch no text."""
+    ledger(docs).write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """docs with measurements and ``failed``, the bits of the rules that a row fails."""
+    """docs without its text, with measurements and ``failed``, the bits of the rules that a row fails."""
     bits = F.lit(0)
     for name, rule in RULES.items():
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)))

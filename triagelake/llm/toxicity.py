@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagelake.llm.common import blocks, distinct_ranges, ragged, table, word_bounds
+from triagelake.llm.common import blocks, distinct_ranges, leading, ragged, table, word_bounds
 
 MAX_PER_CLASS = {1: 800, 0: 2000}  # training documents of each label
 MAX_LANDMARKS = 48
@@ -404,8 +404,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
     fields = "".join(f"`{c}` {t}, " for c, t in rest.dtypes)
-    src = rest.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in rest.columns])
-    return src.mapInArrow(run, fields + "score double, predicted int")
+    return leading(rest, "text").mapInArrow(run, fields + "score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,4 +423,4 @@ def remove_toxic(docs: DataFrame, model: Model) -> DataFrame:
             s = np.concatenate([m.scores(d, o) for _, _, d, o in blocks(batch.column(0))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(s < 0.5))
 
-    return docs.select(F.col("text").alias("_in"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, docs.schema)
+    return leading(docs, "text").mapInArrow(run, docs.schema)
