@@ -1,10 +1,11 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field that adds spans.
 
-The patterns (email, ip, card, phone) always stay.  The model segments the tokens around digits and at-signs
-into outside tokens and entities of at most MAX_TOKENS tokens.  Whole-span features (digit groups, separators,
+The patterns (email, ip, card, phone) always stay.  The model segments the tokens around digits, at-signs, bracketed
+"at" and the word "dot" into outside tokens and entities of at most MAX_TOKENS tokens; REACH words on either side of
+such a place are read with it, and no word is cut.  Whole-span features (digit groups, separators,
 checksum, ranges, context words) score every candidate segment, and dynamic programming over positions chooses
 boundaries and types jointly.  Weights are learned here by conditional likelihood on generated sentences.
-Texts without a digit, an at-sign or a bracketed "at" hold no candidate, so all their tokens are outside.
+Without one of these no segment is a candidate, so all other tokens are outside.
 
 Edge cases: null and empty texts have no spans; whole texts are read, in time linear in their length; repeated
 rows each come out; further columns are carried, except those named like an output; empty in, empty out.
@@ -35,8 +36,10 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
-_SPELT = re.compile(rb"[(\[]at[)\]]", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]|[(\[{]\s?at\s?[)\]}]|\bdot\b", re.IGNORECASE)
+_SPELT = re.compile(rb"[(\[{]\s?at\s?[)\]}]|\bdot\b", re.IGNORECASE)
+#: Words read on either side of such a place: more than the longest entity and its cue words have.
+REACH = 20
 
 
 def luhn(digits: str) -> bool:
@@ -98,7 +101,7 @@ _CUES = (  # fixed cue words, by kind
     frozenset("card visa mastercard amex karte carte tarjeta kreditkarte".split()),
     frozenset("phone tel call fax mobile telefon telephone telefono".split()),
 )
-_AT, _DOT = frozenset(("at", "@")), frozenset(("dot", "."))
+_AT, _DOT, _BRACKETS = frozenset(("at", "@")), frozenset(("dot", ".")), frozenset("()[]{}")
 N_TYPES = 1 + len(KINDS)  # 0 is outside
 
 
@@ -121,15 +124,21 @@ def span_features(toks: list[tuple[str, int, int]], i: int, j: int) -> list[int]
     f.append(f"ats_{min(ats, 2)}")
     if ats == 1:
         k = next(k for k, w in enumerate(words) if w.lower() in _AT)
-        tail = [w.lower() for w in words[k + 1 :]]
-        head = words[:k]
-        if head and head[0][0].isalnum() and tail and tail[-1].isalpha() and len(tail[-1]) >= 2 and tail[-1] not in _DOT and any(w in _DOT for w in tail):
-            alt = tail[1::2] if tail and tail[0][0].isalnum() else tail[2::2]
-            f.append("address_form" if all(w in _DOT or w in ")]-" for w in alt) else "address_loose")
-        if any(toks[i + x][2] != toks[i + x + 1][1] for x in range(k - 1)):
+        tail = [w.lower() for w in words[k + 1 :] if w not in _BRACKETS]
+        head = [w for w in words[:k] if w not in _BRACKETS]
+        if head and head[0][0].isalnum() and head[-1][0].isalnum() and len(tail) > 2 and tail[0][0].isalnum() and tail[0] not in _DOT and tail[-1].isalpha() and len(tail[-1]) >= 2 and tail[-1] not in _DOT:
+            seps = [w for w in tail if w in _DOT or w == "-"]
+            names = sum(w[0].isalnum() and w not in _DOT for w in tail)
+            if any(w in _DOT for w in seps):
+                f.append("address_form" if names == len(seps) + 1 and len(tail) == names + len(seps) else "address_loose")
+        if any(toks[i + x][2] != toks[i + x + 1][1] for x in range(k - 1) if words[x + 1] not in _BRACKETS):
             f.append("head_spaced")
-        if "@" in words or any(w in "([" for w in marks):
-            f.append("marked_at")
+        f.append("marked_at" if "@" in words or any(w in _BRACKETS for w in words[max(k - 1, 0) : k + 2]) else "bare_at")
+        if "dot" in tail:
+            f.append("spelt_dot")
+        if "address_form" in f and "head_spaced" not in f:  # its form says more than its length and blanks
+            f = [x for x in f if not x.startswith("tokens_") and x not in ("spaced", "bias")]
+            f.append("spelt_form" if "dot" in tail else "dotted_form")
     if letters and not ats:
         f.append("letters")
     if len(groups) == 4 and marks and all(m == "." for m in marks) and len(words) == 7:
@@ -146,7 +155,7 @@ def span_features(toks: list[tuple[str, int, int]], i: int, j: int) -> list[int]
         f.append("card_groups")
     kinds = {m for m in marks}
     f += [f"mark_{m}" for m in sorted(kinds) if m in "-.()+@/:,$%#=\"'"]
-    if kinds - set("-.()+@[]_%"):
+    if kinds - set("-.()+@[]{}_%"):
         f.append("odd_mark")
     if not (words[-1][0].isalnum() or words[-1] == ")") or not (words[0][0].isalnum() or words[0] in "+("):
         f.append("ragged_edge")
@@ -166,7 +175,7 @@ def span_features(toks: list[tuple[str, int, int]], i: int, j: int) -> list[int]
 
 _NAMES = [
     "bias", *[f"digits_{n}" for n in range(21)], *[f"groups_{n}" for n in range(8)], *[f"tokens_{n}" for n in range(1, 10)],
-    "glued", "spaced", "ats_0", "ats_1", "ats_2", "address_form", "address_loose", "marked_at", "head_spaced", "letters", "quad_ok", "quad_bad", "luhn",
+    "glued", "spaced", "ats_0", "ats_1", "ats_2", "address_form", "address_loose", "marked_at", "bare_at", "spelt_dot", "spelt_form", "dotted_form", "head_spaced", "letters", "quad_ok", "quad_bad", "luhn",
     "not_luhn", "plus", "area_code", "phone_groups", "card_groups", *[f"mark_{m}" for m in "-.()+@/:,$%#=\"'"], "odd_mark", "ragged_edge",
     "cut_left_digit", "cut_left", "cut_right_digit", "cut_right", "stop_right", "goes_on", "digits_before", *[f"cue_{k}" for k in KINDS],
 ]
@@ -297,8 +306,10 @@ def training_sentences(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
     def email() -> str:
         user = word() + r.choice(("", "." + word(), num(2), "." + num(2)))
         host = word() + r.choice(("", num(1))) + r.choice((".", "-" + word() + "."))
-        if r.random() < 0.35:
-            return f"{user} {r.choice(('(at)', '[at]', '(at)'))} {word()} {r.choice(('dot', '(dot)'))} {r.choice(('com', 'org', 'net'))}".replace("(dot)", "dot")
+        if r.random() < 0.6:
+            at, dot = r.choice(((" (at) ", " dot "), (" [at] ", " dot "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", ".")))
+            part = "" if r.random() < 0.7 else word() + dot
+            return f"{user}{at}{part}{word()}{dot}{r.choice(('com', 'org', 'net'))}"
         return f"{user}@{host}{r.choice(('com', 'org', 'example.com', 'net'))}"
 
     def phone() -> str:
@@ -314,14 +325,14 @@ def training_sentences(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
             f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{day}", f"{day}/{r.randint(1, 12):02d}/{r.randint(1900, 2030)}", num(r.randint(1, 12)),
             f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"${num(3)},{num(3)}.{num(2)}", f"{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(300, 999)}.{num(4)}",
             "%x" % r.getrandbits(64), "AKIA" + "".join(r.choice("ABCDEFGHIJ234567") for _ in range(16)), f"password={'%x' % r.getrandbits(72)}",
-            f'token = "{"%x" % r.getrandbits(160)}"', f"{num(2)}:{num(2)}:{num(2)}", f"{num(4)}-{num(4)}", f"{num(5)}-{num(4)}", f"look at {word()}.", f"{num(3)}-{num(2)}-{num(4)}",
+            f'token = "{"%x" % r.getrandbits(160)}"', f"{num(2)}:{num(2)}:{num(2)}", f"{num(4)}-{num(4)}", f"{num(5)}-{num(4)}", f"look at {word()}.", f"look at {word()}.com", f"the dot {word()}", f"at the {word()} dot", f"dot {word()} at {word()}", f"meet at {num(1)} dot", f"{num(3)}-{num(2)}-{num(4)}",
             f"ISBN {num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", num(r.choice((13, 14, 17, 18))), f"{num(1)},{num(3)},{num(3)},{num(3)}", f"{num(4)} {num(4)} {num(4)} {num(4)}", f"@{word()}",
         ))
 
     makers = (email, ip, card, phone)
     out = []
     for _ in range(n):
-        text, spans = word().capitalize(), []
+        text, spans = word().capitalize() if r.random() < 0.85 else "", []
         for _ in range(r.randint(1, 3)):
             for _ in range(r.randint(0, 3)):
                 text += " " + word()
@@ -330,8 +341,9 @@ def training_sentences(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
                 if r.random() < 0.25:
                     text += " " + r.choice(sorted(_CUES[k])) + r.choice(("", ":"))
                 s = makers[k]()
-                spans.append((k, len(text) + 1, len(text) + 1 + len(s)))
-                text += " " + s
+                text += " " * bool(text)
+                spans.append((k, len(text), len(text) + len(s)))
+                text += s
             else:
                 s = other()
                 if len(s.replace(" ", "")) in (14, 15, 16, 17, 18) and s.replace(" ", "").isdigit() and luhn(s.replace(" ", "")):
@@ -343,7 +355,7 @@ def training_sentences(n: int, seed: int = 7) -> list[tuple[str, list[Span]]]:
 
 
 @lru_cache(1)
-def trained(sentences: int = 500, epochs: int = 6, rate: float = 0.25, decay: float = 2e-4) -> SemiCrf:
+def trained(sentences: int = 400, epochs: int = 6, rate: float = 0.25, decay: float = 2e-4) -> SemiCrf:
     """The model, fitted by AdaGrad on the conditional likelihood of generated sentences."""
     model = SemiCrf()
     data = []
@@ -367,24 +379,40 @@ def trained(sentences: int = 500, epochs: int = 6, rate: float = 0.25, decay: fl
     return model
 
 
-def model_spans(model: SemiCrf, t: str) -> list[Span]:
-    """Spans that the model finds: texts are cut into islands of lines around digits and at-signs."""
-    out: list[Span] = []
-    at = 0
+def islands(t: str) -> Iterator[tuple[int, int]]:
+    """The parts of a text that may hold an entity: REACH words around each trigger, joined where they meet."""
     hits = [m.start() for m in _TRIGGER.finditer(t)]
-    k = 0
+    at = k = 0
     while k < len(hits):
-        a = max(at, hits[k] - 60)
-        while a > at and not t[a - 1].isspace() and hits[k] - a < 160:
-            a -= 1
-        b = hits[k]
-        while k < len(hits) and hits[k] - b <= 60:
-            b = hits[k]
-            k += 1
-        b = min(len(t), b + 60)
+        a, words = hits[k], 0
+        while a > at and words < REACH:  # back to the start of a word, REACH words before
+            while a > at and not t[a - 1].isspace():
+                a -= 1
+            words += 1
+            while words < REACH and a > at and t[a - 1].isspace():
+                a -= 1
+        # on to REACH words behind a trigger that no other follows within 2 * REACH words
+        b, to, words = hits[k], hits[k], 0
+        while to < len(t) and words < 2 * REACH:
+            while to < len(t) and not t[to].isspace():
+                to += 1
+            while to < len(t) and t[to].isspace():
+                to += 1
+            words += 1
+            while k < len(hits) and hits[k] < to:
+                k, words = k + 1, 0
+            if words <= REACH:
+                b = to
+        yield a, b
+        at = b
+
+
+def model_spans(model: SemiCrf, t: str) -> list[Span]:
+    """Spans that the model finds in the islands of a text."""
+    out: list[Span] = []
+    for a, b in islands(t):
         toks = tokens(t, a, b)
         out += [(y, toks[i][1], toks[j - 1][2]) for y, i, j in model.best(toks)]
-        at = b
     return out
 
 

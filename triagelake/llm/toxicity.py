@@ -3,20 +3,27 @@
 Words are compared by the gap-weighted subsequence kernel (lengths 3 and 4), so inserted or dropped characters
 and unseen endings lower the similarity a little and not to nothing.  Letters spelt apart ("i d i o t") are read
 as one word.  Landmarks are words of toxic training documents; a word's kernel values to them, whitened by the
-landmarks' own kernel matrix, are its Nyström features.  The machine is trained on sentences: those of clean
-documents are clean, and of a toxic document the sentence with its most suspicious word is toxic; a sentence's
-value is that of its worst word, and a document's that of its worst sentence, mapped to 0..1 by a logistic fit.
+landmarks' own kernel matrix, are its Nyström features.  A sentence stands for its worst word and a document for its
+worst sentence, so the machine's training rows are worst words: of each toxic document those of its most suspicious
+sentences (chosen again after each fit), and all words of clean documents, as their sentences are clean.  Values are
+mapped to 0..1 by a logistic fit; the boundary comes from two-fold cross-validation inside the training texts.
+
+A kernel value counts only if the word holds at least GATE of the landmark's adjacent letter pairs (gaps allowed),
+in training and in use alike; below that it is zero.  Words of one or two letters and words over PIECE letters are
+read as spelt-apart runs and as overlapping pieces; other one- and two-letter words have no subsequence of length 3.
 
 Training takes at most MAX_PER_CLASS labelled documents of a class, those with the smallest hashed doc_id,
 never one whose crc32 makes it held out.  Everything else reads all texts whole.
 
 Edge cases: null and empty texts have no words and get the value of a clean sentence; without a toxic or a clean
-label all scores are the share of toxic labels (0 without labels); repeated rows each come out; further columns
+label or if no word tells them apart, all scores are the share
+of toxic labels (0 without labels); repeated rows each come out; further columns
 are carried, except those named like an output; empty in, empty out.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -135,13 +142,13 @@ class Landmarks:
         self.codes = pad(np.concatenate(codes), np.cumsum([0] + [len(c) for c in codes])[:-1], np.array([len(c) for c in codes]), PIECE)
         self.length = np.array([len(c) for c in codes])
         self.own = self_kernel(self.codes, self.length)
-        self.lut = np.zeros((-(-len(words) // 8), 28 * 28), np.uint64)
+        self.lut = np.zeros((-(-len(words) // 4), 28 * 28), np.uint64)  # a word of 16 letters has 15 pairs: 16 bits each
         self.need = np.zeros(len(words), np.int64)
         for m, c in enumerate(codes):
-            pairs = list(dict.fromkeys(zip(c[:-1].tolist(), c[1:].tolist())))[:8]
+            pairs = list(dict.fromkeys(zip(c[:-1].tolist(), c[1:].tolist())))
             self.need[m] = max(2, int(np.ceil(GATE * len(pairs))))
             for bit, (x, y) in enumerate(pairs):
-                self.lut[m // 8, x * 28 + y] |= np.uint64(1 << (8 * (m % 8) + bit))
+                self.lut[m // 4, x * 28 + y] |= np.uint64(1 << (16 * (m % 4) + bit))
 
     def features(self, letters: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that pass a gate, and their kernel values to all landmarks (0 where gated out)."""
@@ -158,8 +165,8 @@ class Landmarks:
                 bits[:-gap] = lut[flat[:-gap] * 28 + flat[gap:]]
                 bits[left <= gap] = 0
                 seen |= np.bitwise_or.reduceat(bits, begin)
-            part = seen.view(np.uint8).reshape(-1, 8)[:, : len(self.need) - 8 * g]
-            held[:, 8 * g : 8 * g + part.shape[1]] = np.bitwise_count(part)
+            part = seen.view(np.uint16).reshape(-1, 4)[:, : len(self.need) - 4 * g]
+            held[:, 4 * g : 4 * g + part.shape[1]] = np.bitwise_count(part)
         word, mark = np.nonzero(held >= self.need)
         some, at = np.unique(word, return_inverse=True)
         out = np.zeros((len(some), len(self.need)))
@@ -288,11 +295,48 @@ def _bent(word: str) -> list[str]:
     return [word[:m] + chr(24) + word[m:], word[:m] + word[m - 1] + word[m:]]
 
 
+def _share(toxic: int, clean: int) -> Model:
+    """Without landmarks every score is the share of toxic labels."""
+    share = toxic / max(1, toxic + clean)
+    return Model(None, shift=float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
+
+
+def _values(model: Model, texts: list[str]) -> np.ndarray:
+    return np.concatenate([model.values(d, o) for _, _, d, o in blocks(pa.array(texts, pa.large_string()))] or [np.zeros(0)])
+
+
+def _unseen(toxic: list[str], clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and labels of the training texts, each half by a machine of the other half; equal texts share a half."""
+    half = lambda texts, k: [t for t in texts if zlib.crc32(t.encode()) % 2 == k]
+    v, y = [], []
+    for k in (0, 1):
+        model = fit(half(toxic, 1 - k), half(clean, 1 - k))
+        if model is None:
+            return np.zeros(0), np.zeros(0)
+        for texts, label in ((toxic, 1.0), (clean, 0.0)):
+            v.append(_values(model, half(texts, k)))
+            y.append(np.full(len(v[-1]), label))
+    return np.concatenate(v), np.concatenate(y)
+
+
 def train(toxic: list[str], clean: list[str]) -> Model:
-    """Landmarks, machine and logistic fit from texts of both classes."""
+    """The machine of all texts, its logistic slope, and the boundary that cross-validation within these texts gives."""
+    model = fit(toxic, clean)
+    if model is None:
+        return _share(len(toxic), len(clean))
+    v, y = np.concatenate([_values(model, toxic), _values(model, clean)]), np.append(np.ones(len(toxic)), np.zeros(len(clean)))
+    model.slope, model.shift = _logistic(v, y)
+    middle = _boundary(*_unseen(toxic, clean))
+    middle = _boundary(v, y) if middle is None else middle
+    if model.slope > 0 and middle is not None:  # labels are noisy: the fit gives the slope, the decisions the midpoint
+        model.shift = -model.slope * middle
+    return model
+
+
+def fit(toxic: list[str], clean: list[str]) -> Model | None:
+    """Landmarks and machine from texts of both classes; none if a class is empty or no word tells them apart."""
     if not toxic or not clean:
-        share = len(toxic) / max(1, len(toxic) + len(clean))
-        return Model(None, shift=float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
+        return None
     ids: dict[str, int] = {}
     bad, good = _word_ids(toxic, ids), _word_ids(clean, ids)
     vocabulary = ["", *ids]
@@ -332,7 +376,8 @@ def train(toxic: list[str], clean: list[str]) -> Model:
             of_stem[x] += 1
             explained[x] = max(explained[x], int(in_bad[ids[w]]))
         chosen.append(w)
-    chosen = chosen or ["".join(map(chr, (20, 15, 24, 9, 3)))]
+    if not chosen:  # no word tells the classes apart
+        return None
     marks = Landmarks(chosen)
     own = _matrix(marks, chosen).astype(float)
     value, vector = np.linalg.eigh((own + own.T) / 2)
@@ -361,15 +406,7 @@ def train(toxic: list[str], clean: list[str]) -> Model:
         weight = np.concatenate([np.full(len(witness), 1 / len(witness)), np.full(len(bent), 0.3 / max(1, len(bent))), n_neg / n_neg.sum()]) * len(witness)
         alpha, bias = fit_svm(x, y, weight)
         value = f_bad @ alpha + bias
-    model = Model(marks, whiten @ alpha, bias)
-    fit = lambda texts: np.concatenate([model.values(d, o) for _, _, d, o in blocks(pa.array(texts, pa.large_string()))])
-    v = np.concatenate([fit(toxic), fit(clean)])
-    y = np.append(np.ones(len(toxic)), np.zeros(len(clean)))
-    model.slope, model.shift = _logistic(v, y)
-    middle = _boundary(v, y)
-    if model.slope > 0 and middle is not None:  # labels are noisy: the fit gives the slope, the decisions the midpoint
-        model.shift = -model.slope * middle
-    return model
+    return Model(marks, whiten @ alpha, bias)
 
 
 def held_out(doc_id):
@@ -385,7 +422,7 @@ def trained_model(docs: DataFrame, labels: DataFrame) -> Model:
     take = lambda k: [r.doc_id for r in rows.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PER_CLASS[k]).collect()]
     bad, good = take(1), take(0)
     if not bad or not good:
-        return train(["x"] * len(bad), ["x"] * len(good))
+        return _share(len(bad), len(good))
     found = docs.where(F.col("doc_id").isin(bad + good)).select("doc_id", "text").collect()
     wanted = set(bad)
     texts = sorted((r.doc_id, r.text or "") for r in found)
