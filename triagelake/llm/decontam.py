@@ -148,8 +148,9 @@ class Items:
             d = int(docs[a])
             lo = max(int(first[a]), int(np.searchsorted(at, begin[d])))
             hi = min(int(last[b - 1]), int(np.searchsorted(at, begin[d + 1] - size, "right")) - 1)
-            for x in range(lo, hi + 1, 4096):  # windows x to y
-                y = min(hi, x + 4095)
+            step = min(4096, max(16, (1 << 24) // len(of)))  # bounds the table of windows by items
+            for x in range(lo, hi + 1, step):  # windows x to y
+                y = min(hi, x + step - 1)
                 sums = np.zeros((y - x + m + 1, 64), np.int32)
                 np.cumsum(_signs(h[x : y + m]), axis=0, out=sums[1:])
                 prints = np.packbits(sums[m:] > sums[:-m], axis=1, bitorder="little")

@@ -53,9 +53,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     drop = dropped_lines(own, min_chars, min_docs)
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     both = own.join(drop.hint("shuffle_hash"), ["_d", "_t"], "left")
-    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    )
+    # a set difference of positions, in order and linear in the lines; the outer transform cuts the text once
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop"))
+    rest = F.transform(F.array(split), lambda lines: F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.get(rest, F.lit(0)))
     return both.select(
         *[F.col("row")[c].alias(c) if c != "text" else kept.alias("text") for c in docs.columns if c not in ("_n_lines", "_n_dropped")],
         F.size(split).cast("long").alias("_n_lines"),

@@ -9,15 +9,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Input bytes for each bucket, which bounds what a bucket's task holds, however large the input.
-BUCKET_BYTES = 2 << 20
+#: Text bytes for each bucket, which bounds what a bucket's task holds, however large the input.
+BUCKET_BYTES = 7 << 19
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets in proportion to the size of the files that the frame reads."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(64, int(size) // BUCKET_BYTES)
+#: More would not fit the 32 bits that choose a bucket.
+MAX_BUCKETS = 1 << 24
+
+
+def bucket_count(df: DataFrame, column: str = "text") -> int:
+    """Buckets in proportion to the bytes of the frame's texts, counted in one pass, so any derived frame will do."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    return min(MAX_BUCKETS, max(64, int(size) // BUCKET_BYTES))
 
 
 def planes(a: np.ndarray) -> bytes:
