@@ -200,35 +200,39 @@ def reference_rung(pooled: DataFrame) -> DataFrame:
 
 
 def depth(ranked: DataFrame, rank: str, targets: DataFrame) -> DataFrame:
-    """(period_start, depth): how deep a ranking goes to reach the targets (attempts, true_positives) of a period.
+    """(period_start, attempts_depth, alerts_depth): how deep a ranking goes to reach a period's targets.
 
-    A zero target is met at depth 0; one that is out of reach gives null.
+    targets has attempts and true_positives.  A zero target is met at depth 0; one out of reach gives null.
     """
     rows = ranked.select("period_start", F.col(rank).alias("pos"), "attempt_ids", F.col("is_true_positive").cast("int").alias("tp"))
     firsts = rows.select("period_start", "pos", F.explode("attempt_ids").alias("x")).groupBy("period_start", "x").agg(F.min("pos").alias("pos"))
-    kth = firsts.withColumn("k", F.row_number().over(Window.partitionBy("period_start").orderBy("pos", "x"))).select("period_start", "k", F.col("pos").alias("a_pos"))
     w = Window.partitionBy("period_start").orderBy("pos")
-    tps = rows.where("tp = 1").withColumn("k", F.row_number().over(w)).select("period_start", "k", F.col("pos").alias("t_pos"))
-    t = targets.select("period_start", "attempts", "true_positives")
-    t = t.join(kth, (t.period_start == kth.period_start) & (t.attempts == kth.k), "left").select(t.period_start, "attempts", "true_positives", "a_pos")
-    t = t.join(tps, (t.period_start == tps.period_start) & (t.true_positives == tps.k), "left").select(t.period_start, "attempts", "true_positives", "a_pos", "t_pos")
-    a = F.when(F.col("attempts") == 0, 0).otherwise(F.col("a_pos"))
-    b = F.when(F.col("true_positives") == 0, 0).otherwise(F.col("t_pos"))
-    return t.select("period_start", F.when(a.isNull() | b.isNull(), None).otherwise(F.greatest(a, b)).alias("depth"))
+    kth = firsts.select("period_start", F.col("pos").alias("a_pos"), F.row_number().over(Window.partitionBy("period_start").orderBy("pos", "x")).alias("attempts"))
+    tps = rows.where("tp = 1").select("period_start", F.col("pos").alias("t_pos"), F.row_number().over(w).alias("true_positives"))
+    t = targets.select("period_start", F.col("attempts").cast("int").alias("attempts"), F.col("true_positives").cast("int").alias("true_positives"))
+    t = t.join(kth, ["period_start", "attempts"], "left").join(tps, ["period_start", "true_positives"], "left")
+    return t.select(
+        "period_start", F.when(F.col("attempts") == 0, 0).otherwise(F.col("a_pos")).alias("attempts_depth"), F.when(F.col("true_positives") == 0, 0).otherwise(F.col("t_pos")).alias("alerts_depth")
+    )
 
 
 def volume_reduction(ranked: DataFrame, worked: DataFrame, rung: str, reference: str, point: OperatingPoint) -> DataFrame:
-    """Per period: the depth at which rung holds what the reference's worked queue found, and the alerts freed."""
+    """Per period: the depths at which rung holds what the reference's worked queue found, and the alerts freed by each.
+
+    A freed figure may be negative; it is null where the depth is.
+    """
     ref = worked.where(F.col("rung") == reference)
     targets = ref.groupBy("period_start").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("attempt_ids")))).alias("attempts"), F.sum(F.col("is_true_positive").cast("int")).alias("true_positives")
     )
     deep = depth(evaluated(ranked, point), f"rank_{rung}", targets)
-    return targets.join(deep, "period_start").withColumn("alerts_freed", F.lit(point.k) - F.col("depth"))
+    freed = {f"{x}_freed": F.lit(point.k) - F.col(f"{x}_depth") for x in ("attempts", "alerts")}
+    return targets.join(deep, "period_start").withColumns(freed | {"target_was_zero": F.col("attempts") == 0})
 
 
 def pooled_reduction(volume: DataFrame, point: OperatingPoint) -> DataFrame:
-    return volume.agg(F.try_divide(F.sum("alerts_freed"), F.lit(point.k) * F.count("depth")).alias("reduction"))
+    """The alerts freed at equal true positives, as a share of the worked volume of the periods that have a depth."""
+    return volume.agg(F.try_divide(F.sum("alerts_freed"), F.lit(point.k) * F.count("alerts_depth")).alias("reduction"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
@@ -240,6 +244,23 @@ def spearman(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
     return both.groupBy(*part).agg(F.corr("ra", "rb").alias("rho"))
 
 
+def scored_queue(prepared: DataFrame, scores: DataFrame, point: OperatingPoint, name: str = "C1") -> DataFrame:
+    """The first K of every evaluation period by score, as one more rung; refuses scores that miss an alert of them."""
+    return worked_queue(with_scores(evaluated(prepared, point), scores), point, ("C1",)).withColumn("rung", F.lit(name))
+
+
+def scored_ranks(prepared: DataFrame, scores: DataFrame, point: OperatingPoint) -> DataFrame:
+    """The evaluation periods' whole positions in every rung of the ladder and by score."""
+    ladder = evaluated(ranks(prepared, point), point)
+    return ranks(with_scores(ladder, scores), point, ("C1",))
+
+
+def recall_outcomes(universe: DataFrame, worked: DataFrame, rung: str) -> DataFrame:
+    """Each live attempt and whether a rung's worked queue recovers it: what recall intervals resample."""
+    got = worked.where(F.col("rung") == rung).select(F.explode("attempt_ids").alias("attempt_id")).distinct().withColumn("r", F.lit(True))
+    return universe.join(got, "attempt_id", "left").select("typology", "attempt_id", F.coalesce("r", F.lit(False)).alias("recovered"))
+
+
 def gate(lift_point: float, interval_low: float, point: OperatingPoint) -> dict:
     """Both parts of the ship gate: the point estimate, and an interval wholly above 1."""
     return {"point_passed": lift_point >= point.gate, "interval_passed": interval_low > 1.0, "passed": lift_point >= point.gate and interval_low > 1.0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagelake.functions import draw
@@ -15,31 +15,36 @@ def _percentiles(samples: DataFrame, value: str, confidence: float, by: list[str
     return samples.groupBy(*by).agg(F.count(value).alias("samples"), at(tail).alias("low"), at(1 - tail).alias("high"))
 
 
-def bootstrap_mean(outcomes: DataFrame, by: str, key: list[str], value: str, n: int, seed: int, confidence: float = 0.95) -> DataFrame:
+def bootstrap_mean(outcomes: DataFrame, by: str, key: list[str], value: str, n: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
     """Per group the mean of a 0/1 outcome and its percentile interval over n resamples.
 
-    A resample's mean needs how often each element is drawn, so draws are a spine of (sample, draw) joined to
-    numbered elements; the samples are n rows a group.
+    A group's outcomes, in order, are one array: at most K for each period, which the operating point bounds.  Samples
+    are dealt to all tasks, and each adds up its own draws from the array, so nothing is joined.
     """
-    rows = outcomes.withColumns({
-        "i": F.row_number().over(Window.partitionBy(by).orderBy(*key)) - 1, "size": F.count("*").over(Window.partitionBy(by)),
-    }).select(by, "i", "size", F.col(value).cast("int").alias("v"))
-    spine = rows.select(by, F.col("i").alias("d"), "size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"))
-    spine = spine.select(by, "s", (draw(F.lit(str(seed)), F.col("s"), F.col("d")) % F.col("size")).alias("i"))
-    means = spine.join(rows.select(by, "i", "v"), [by, "i"]).groupBy(by, "s").agg(F.avg("v").alias("m"))
-    point = rows.groupBy(by).agg(F.avg("v").alias("mean"))
+    one = F.col(value).cast("int")
+    rows = outcomes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*key, one.alias("_v")))).alias("o")).select(by, F.transform("o", lambda x: x["_v"]).alias("o"))
+    parts = int(outcomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    samples = rows.select(by, "o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")).repartition(parts, by, "s")
+    size = F.size("o")
+    hits = F.aggregate(F.sequence(F.lit(0), size - 1), F.lit(0), lambda a, d: a + F.get("o", (draw(F.lit(str(seed)), F.col("s"), d) % size).cast("int")))
+    means = samples.select(by, (hits / size).alias("m"))
+    point = rows.select(by, (F.aggregate("o", F.lit(0), lambda a, x: a + x) / size).alias("mean"))
     return point.join(_percentiles(means, "m", confidence, [by]), by)
 
 
-def bootstrap_lift(per_period: DataFrame, top: str, base: str, n: int, seed: int, confidence: float = 0.95) -> DataFrame:
-    """Interval of the ratio of two rungs' pooled precisions over resampled periods, both rungs paired."""
-    wide = per_period.groupBy("period_start").agg(*[
-        F.sum(F.when(F.col("rung") == r, F.col(c))).alias(f"{side}_{c}") for side, r in (("top", top), ("base", base)) for c in ("worked", "true_positives")
-    ])
-    whole = wide.agg(F.count("*").alias("size"))
-    rows = wide.withColumn("i", F.row_number().over(Window.orderBy("period_start")) - 1)  # one row a period
-    spine = rows.crossJoin(F.broadcast(whole)).select(F.col("i").alias("d"), "size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s"))
-    spine = spine.select("s", (draw(F.lit(str(seed)), F.col("s"), F.col("d")) % F.col("size")).alias("i"))
-    ratio = F.try_divide(F.try_divide(F.sum("top_true_positives"), F.sum("top_worked")), F.try_divide(F.sum("base_true_positives"), F.sum("base_worked")))
-    lifts = spine.join(rows, "i").groupBy("s").agg(ratio.alias("m"))
-    return _percentiles(lifts, "m", confidence, [])
+def bootstrap_lift(per_period: DataFrame, top: str, base: str, n: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """Interval of the ratio of two rungs' pooled precisions over resampled periods, both rungs paired.
+
+    All periods' four counts are one array, a few numbers for each period.  Samples without a hit below are left out.
+    """
+    counts = [F.coalesce(F.sum(F.when(F.col("rung") == r, F.col(c))), F.lit(0)).cast("double").alias(f"{side}_{c}") for side, r in (("top", top), ("base", base)) for c in ("worked", "true_positives")]
+    wide = per_period.groupBy("period_start").agg(*counts)
+    names = [f"{side}_{c}" for side in ("top", "base") for c in ("worked", "true_positives")]
+    rows = wide.agg(F.array_sort(F.collect_list(F.struct("period_start", *names))).alias("o"))
+    size = F.size("o")
+    samples = rows.select("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("s")).where(size > 0)
+    picked = F.transform(F.sequence(F.lit(0), size - 1), lambda d: F.get("o", (draw(F.lit(str(seed)), F.col("s"), d) % size).cast("int")))
+    total = lambda c: F.aggregate("p", F.lit(0.0), lambda a, x: a + x[c]).alias(c)
+    sums = samples.select(picked.alias("p")).select(*map(total, names))
+    ratio = F.try_divide(F.try_divide("top_true_positives", "top_worked"), F.try_divide("base_true_positives", "base_worked"))
+    return _percentiles(sums.select(ratio.alias("m")), "m", confidence, [])

@@ -6,17 +6,20 @@ A rule takes the ledger and parameters and returns (subject_account, period, evi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import cents, day_number, money_sum
 from triagelake.params import Parameters
 
 USD = "US Dollar"
-def _ids():
-    return F.array_sort(F.collect_set("txn_id")).alias("txn_ids")
 
 
+def _ids() -> Column:
+    return F.array_sort(F.collect_set("txn_id")).alias("txn_ids")
+
 
 def r1_structuring(txns: DataFrame, p: Parameters) -> DataFrame:
     """Several US dollar payments in the band just below the threshold."""
@@ -26,12 +29,33 @@ def r1_structuring(txns: DataFrame, p: Parameters) -> DataFrame:
     return out.where(F.col("n") >= p.r1_min_count)
 
 
+def _width(least: float, tolerance: float) -> float | None:
+    """Width of an amount bucket on a log scale; none where the tolerance has no lower bound above zero."""
+    return max(math.log1p(tolerance), 1e-6) if least > 0 and tolerance < 1 else None
+
+
+def _bucket(amount: Column, least: float, tolerance: float) -> Column:
+    width = _width(least, tolerance)
+    return F.lit(0).cast("long") if width is None else F.floor(F.log(amount) / width).cast("long")
+
+
+def _near_buckets(least: float, tolerance: float) -> Column:
+    """All buckets of amounts within the tolerance of in_amount: at most a few, so a busy account's day is not one key."""
+    width = _width(least, tolerance)
+    if width is None:
+        return F.array(F.lit(0).cast("long"))
+    at = lambda factor, slack: F.floor(F.log(F.col("in_amount") * factor) / width + slack).cast("long")
+    return F.sequence(at(1 - tolerance, -1e-6), at(1 + tolerance, 1e-6))
+
+
 def r2_rapid_movement(txns: DataFrame, p: Parameters) -> DataFrame:
     """Money in and nearly the same amount out within hours of one day."""
     big = txns.where(F.col("amount") >= p.r2_min_amount)
     came = big.select(F.col("to_account").alias("subject_account"), "period", F.col("ts").alias("in_ts"), F.col("amount").alias("in_amount"), F.col("txn_id").alias("in_id"))
     went = big.select(F.col("from_account").alias("subject_account"), "period", F.col("ts").alias("out_ts"), F.col("amount").alias("out_amount"), F.col("txn_id").alias("out_id"))
-    pairs = came.join(went, ["subject_account", "period"]).where(
+    pairs = came.withColumn("bucket", F.explode(_near_buckets(p.r2_min_amount, p.r2_tolerance))).join(
+        went.withColumn("bucket", _bucket(F.col("out_amount"), p.r2_min_amount, p.r2_tolerance)), ["subject_account", "period", "bucket"]
+    ).where(
         (F.col("out_ts") >= F.col("in_ts")) & (F.expr("timestampdiff(HOUR, in_ts, out_ts)") <= p.r2_max_hours)
         & (F.abs(F.col("out_amount") - F.col("in_amount")) <= F.col("in_amount") * p.r2_tolerance)
     )
@@ -42,34 +66,34 @@ def r2_rapid_movement(txns: DataFrame, p: Parameters) -> DataFrame:
 def _fan(txns: DataFrame, subject: str, other: str, window: int, least: int) -> DataFrame:
     """Distinct counterparties over trailing calendar days, on the days on which the subject is active.
 
-    Each day's counterparties are dealt to the days whose window holds them, so the count is one distinct
-    aggregation that combines before its shuffle; no window gathers arrays.
+    Each day's counterparties are dealt to the days whose window holds them, so the count is one distinct aggregation
+    that combines before its shuffle.  Only then are the transactions of the subjects that fire gathered.
     """
-    daily = txns.groupBy(F.col(subject).alias("subject_account"), "period", F.col(other).alias("party")).agg(
-        F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"), F.collect_set("txn_id").alias("ids")
-    )
+    daily = txns.groupBy(F.col(subject).alias("subject_account"), "period", F.col(other).alias("party")).agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"))
     active = daily.select("subject_account", "period").distinct()
-    seen = daily.withColumn("period", F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: F.date_add("period", d))))
-    per_party = seen.groupBy("subject_account", "period", "party").agg(F.sum("amount").alias("amount"), F.flatten(F.collect_list("ids")).alias("ids"))
-    out = per_party.groupBy("subject_account", "period").agg(
-        F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("txn_ids")
-    )
-    return out.where(F.col("n") >= least).join(active, ["subject_account", "period"], "left_semi")
+    dealt = F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: F.date_add("period", d)))
+    per_party = daily.withColumn("period", dealt).groupBy("subject_account", "period", "party").agg(F.sum("amount").alias("amount"))
+    counted = per_party.groupBy("subject_account", "period").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
+    fires = counted.where(F.col("n") >= least).join(active, ["subject_account", "period"], "left_semi")
+    back = F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: F.date_sub("period", d)))
+    days = fires.select("subject_account", "period", back.alias("day"))
+    held = txns.select(F.col(subject).alias("subject_account"), F.col("period").alias("day"), "txn_id").join(days, ["subject_account", "day"])
+    return fires.join(held.groupBy("subject_account", "period").agg(_ids()), ["subject_account", "period"])
 
 
 def r3_fan_in(txns: DataFrame, p: Parameters) -> DataFrame:
     """Many originators pay one beneficiary within a few days."""
-    return _fan(txns, "to_account", "from_account", p.r3_window, p.r3_min_originators)
+    return _fan(txns, "to_account", "from_account", p.r3_window_periods, p.r3_min_originators)
 
 
 def r4_fan_out(txns: DataFrame, p: Parameters) -> DataFrame:
     """One originator pays many beneficiaries within a few days."""
-    return _fan(txns, "from_account", "to_account", p.r4_window, p.r4_min_beneficiaries)
+    return _fan(txns, "from_account", "to_account", p.r4_window_periods, p.r4_min_beneficiaries)
 
 
 def r5_round_amounts(txns: DataFrame, p: Parameters) -> DataFrame:
     """Several whole US dollar amounts."""
-    hit = txns.where((F.col("currency") == USD) & (F.col("amount") >= p.r5_min_amount) & (cents("amount") % p.r5_modulus_cents == 0))
+    hit = txns.where((F.col("currency") == USD) & (F.col("amount") >= p.r5_min_amount) & (cents("amount") % round(p.r5_multiple * 100) == 0))
     out = hit.groupBy(F.col("from_account").alias("subject_account"), "period").agg(F.count("*").alias("n"), money_sum("amount").alias("total"), _ids())
     return out.where(F.col("n") >= p.r5_min_count)
 
@@ -77,10 +101,10 @@ def r5_round_amounts(txns: DataFrame, p: Parameters) -> DataFrame:
 def r6_dormant_active(txns: DataFrame, p: Parameters) -> DataFrame:
     """A burst of payments after quiet days; the ledger's first days have no look-back and never fire."""
     daily = txns.groupBy(F.col("from_account").alias("subject_account"), "period").agg(F.count("*").alias("n"), _ids())
-    w = Window.partitionBy("subject_account").orderBy(day_number("period")).rangeBetween(-p.r6_lookback, -1)
+    w = Window.partitionBy("subject_account").orderBy(day_number("period")).rangeBetween(-p.r6_lookback_periods, -1)
     first = txns.agg(F.min("period").alias("first"))  # one row
     out = daily.withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).crossJoin(F.broadcast(first))
-    return out.where((F.datediff("period", "first") >= p.r6_lookback) & (F.col("prior") <= p.r6_ceiling) & (F.col("n") >= p.r6_min_count)).drop("first")
+    return out.where((F.datediff("period", "first") >= p.r6_lookback_periods) & (F.col("prior") <= p.r6_dormancy_ceiling) & (F.col("n") >= p.r6_activation_count)).drop("first")
 
 
 def r7_corridor(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> DataFrame:
@@ -97,12 +121,12 @@ def r7_corridor(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> Dat
 def r8_peer_velocity(txns: DataFrame, p: Parameters) -> DataFrame:
     """Far more payments than the account's own recent days and than its bank's accounts on that day."""
     daily = txns.groupBy(F.col("from_account").alias("subject_account"), F.col("from_bank").alias("bank"), "period").agg(F.count("*").alias("n"), _ids())
-    own = Window.partitionBy("subject_account", "bank").orderBy(day_number("period")).rangeBetween(-p.r8_lookback, -1)
+    own = Window.partitionBy("subject_account", "bank").orderBy(day_number("period")).rangeBetween(-p.r8_lookback_periods, -1)
     peers = daily.groupBy("bank", "period").agg(F.avg("n").alias("peer_mean"))
     out = daily.withColumns({"own_mean": F.avg("n").over(own), "prior_periods": F.count("n").over(own)}).join(peers, ["bank", "period"])
     fire = (
-        (F.col("prior_periods") >= p.r8_min_prior) & (F.col("n") >= p.r8_min_count)
-        & (F.col("n") >= p.r8_own_ratio * F.col("own_mean")) & (F.col("n") >= p.r8_peer_ratio * F.col("peer_mean"))
+        (F.col("prior_periods") >= p.r8_min_prior_periods) & (F.col("n") >= p.r8_min_count)
+        & (F.col("n") >= p.r8_own_multiple * F.col("own_mean")) & (F.col("n") >= p.r8_peer_multiple * F.col("peer_mean"))
     )
     return out.where(fire).select("subject_account", "period", "n", F.round("own_mean", 3).alias("own_mean"), F.round("peer_mean", 3).alias("peer_mean"), "prior_periods", "txn_ids")
 
@@ -112,12 +136,12 @@ def each_rule(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> dict[
     return {
         "R1": (r1_structuring(txns, p), {"threshold": p.r1_threshold, "band": p.r1_band}),
         "R2": (r2_rapid_movement(txns, p), {"max_hours": p.r2_max_hours, "tolerance": p.r2_tolerance}),
-        "R3": (r3_fan_in(txns, p), {"window": p.r3_window, "minimum": p.r3_min_originators}),
-        "R4": (r4_fan_out(txns, p), {"window": p.r4_window, "minimum": p.r4_min_beneficiaries}),
+        "R3": (r3_fan_in(txns, p), {"window": p.r3_window_periods, "minimum": p.r3_min_originators}),
+        "R4": (r4_fan_out(txns, p), {"window": p.r4_window_periods, "minimum": p.r4_min_beneficiaries}),
         "R5": (r5_round_amounts(txns, p), {"minimum": p.r5_min_count}),
-        "R6": (r6_dormant_active(txns, p), {"lookback": p.r6_lookback, "minimum": p.r6_min_count}),
+        "R6": (r6_dormant_active(txns, p), {"lookback": p.r6_lookback_periods, "minimum": p.r6_activation_count}),
         "R7": (r7_corridor(txns, jurisdictions, p), {"minimum": p.r7_min_count}),
-        "R8": (r8_peer_velocity(txns, p), {"own_ratio": p.r8_own_ratio, "peer_ratio": p.r8_peer_ratio}),
+        "R8": (r8_peer_velocity(txns, p), {"own_ratio": p.r8_own_multiple, "peer_ratio": p.r8_peer_multiple}),
     }
 
 

@@ -53,7 +53,7 @@ def evidence(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", F.explode("rule_evidence").alias("e")).select("alert_id", "e.rule_id", "e.evidence")
 
 
-#: Quantities of a rule's evidence that may be published; parameters never are.
+#: The quantities of a rule's evidence that may be published; parameters never are.
 PUBLISHABLE = {
     "R1": ("count", "total"),
     "R2": ("pairs", "largest_pass_through"),

@@ -26,32 +26,36 @@ RULE_SUPPORT = {
 
 @dataclass(frozen=True)
 class Parameters:
-    """Thresholds of the eight rules; amounts are in the ledger's unit, days are calendar days."""
+    """Thresholds of the eight rules; amounts are in the ledger's unit, periods are calendar days.
+
+    Fixed values: the published defaults, under the names that overrides use. r8_lookback_periods is our own name for
+    a length that is published as a constant.
+    """
 
     r1_threshold: float = 10_000.0
     r1_band: float = 0.15
     r1_min_count: int = 2
     r2_min_amount: float = 20_000.0
     r2_tolerance: float = 0.03
-    r2_max_hours: int = 12
-    r3_window: int = 3
+    r2_max_hours: float = 12.0
+    r3_window_periods: int = 3
     r3_min_originators: int = 18
-    r4_window: int = 3
+    r4_window_periods: int = 3
     r4_min_beneficiaries: int = 18
     r5_min_amount: float = 100.0
-    r5_modulus_cents: int = 100
+    r5_multiple: float = 1.0
     r5_min_count: int = 2
-    r6_lookback: int = 3
-    r6_ceiling: int = 0
-    r6_min_count: int = 6
+    r6_lookback_periods: int = 3
+    r6_dormancy_ceiling: int = 0
+    r6_activation_count: int = 6
     r7_formats: tuple[str, ...] = ("Bitcoin", "Cash")
     r7_min_amount: float = 1_000.0
     r7_min_count: int = 3
-    r8_lookback: int = 10
-    r8_min_prior: int = 2
+    r8_lookback_periods: int = 10
+    r8_min_prior_periods: int = 2
     r8_min_count: int = 4
-    r8_own_ratio: float = 2.0
-    r8_peer_ratio: float = 2.0
+    r8_own_multiple: float = 2.0
+    r8_peer_multiple: float = 2.0
 
     def replace(self, **changes) -> Parameters:
         return dataclasses.replace(self, **changes)
@@ -79,7 +83,7 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Window:
-    """Study window, both days included."""
+    """Study window, both days included. The published window."""
 
     start: str = "2022-09-01"
     end: str = "2022-09-10"
@@ -87,7 +91,7 @@ class Window:
 
 @dataclass(frozen=True)
 class OperatingPoint:
-    """What the review team works in a period, and where the evaluation starts."""
+    """What the review team works in a period, and where the evaluation starts. The published operating point."""
 
     k: int = 126
     evaluation_start: str = "2022-09-04"
@@ -98,7 +102,7 @@ class OperatingPoint:
 
 #: The bundled event tables as a ledger: parameters under which every rule fires.
 FIXTURE_PARAMS = Parameters(
-    r1_threshold=100.0, r1_band=0.40, r2_min_amount=20.0, r2_tolerance=0.10, r3_min_originators=12, r4_min_beneficiaries=10, r5_min_amount=1.0, r5_modulus_cents=10,
-    r6_lookback=2, r6_ceiling=1, r6_min_count=4, r7_formats=("purchase", "signup"), r7_min_amount=10.0, r7_min_count=2, r8_peer_ratio=1.5,
+    r1_threshold=100.0, r1_band=0.40, r2_min_amount=20.0, r2_tolerance=0.10, r3_min_originators=12, r4_min_beneficiaries=10, r5_min_amount=1.0, r5_multiple=0.1,
+    r6_lookback_periods=2, r6_dormancy_ceiling=1, r6_activation_count=4, r7_formats=("purchase", "signup"), r7_min_amount=10.0, r7_min_count=2, r8_peer_multiple=1.5,
 )
 FIXTURE_POINT = OperatingPoint(k=20, evaluation_start="2024-01-04", prior_weight=20.0)

@@ -28,11 +28,12 @@ def bounded_transactions(alerts: DataFrame, txns: DataFrame, most: int = MAX_TXN
     return out.select("alert_id", "n", "true_count", "txn_id", "ts", pseudonym(F.col("from_account")).alias("sender"), pseudonym(F.col("to_account")).alias("receiver"), "amount", "currency", "format")
 
 
-def rule_table(alerts: DataFrame, day: str) -> DataFrame:
-    """Per rule its alerts in the whole store and in one period."""
+def rule_table(alerts: DataFrame, day: str, universe: DataFrame) -> DataFrame:
+    """Every rule with its alerts in the store and in one period, its supporting typologies and their live attempts."""
     rows = alerts.select(F.to_date("period_start").alias("d"), F.explode("fired_rules").alias("rule_id"))
     here = F.col("d") == F.lit(day).cast("date")
-    return rows.groupBy("rule_id").agg(F.count("*").alias("store_alerts"), F.sum(here.cast("int")).alias("period_alerts"))
+    volume = rows.groupBy("rule_id").agg(F.count("*").alias("store_alerts"), F.sum(here.cast("int")).alias("period_alerts"))
+    return backtest.rule_support(universe).join(volume, "rule_id", "left").na.fill(0, ["store_alerts", "period_alerts"])
 
 
 def funnel(prepared: DataFrame, universe: DataFrame, worked: DataFrame, point: OperatingPoint) -> DataFrame:
@@ -70,35 +71,60 @@ def write_json(path: str, value) -> None:
         f.write(canonical(value))
 
 
-def build_artifact(alerts: DataFrame, txns: DataFrame, prepared: DataFrame, labels: DataFrame, day: str, point: OperatingPoint, provenance: dict, scores: DataFrame | None = None) -> dict:
-    """One period's artifact: queue with every rung's ranks, evidence, bounded transactions and tables."""
-    here = alerts.where(F.to_date("period_start") == F.lit(day).cast("date"))
-    base = prepared if scores is None else prepared.join(scores.select("alert_id", "score"), "alert_id", "left")
-    rungs = backtest.LADDER if scores is None else (*backtest.LADDER, "C1")
-    queue = backtest.ranks(base, point, rungs).where(F.to_date("period_start") == F.lit(day).cast("date")).select(
-        "alert_id", pseudonym(F.col("subject_account")).alias("subject"), "fired_rules", "alert_amount", "attempt_ids", "typologies", "is_true_positive", "unattributed_only", *[f"rank_{r}" for r in rungs]
+def build_artifact(
+    alerts: DataFrame, txns: DataFrame, prepared: DataFrame, labels: DataFrame, day: str, point: OperatingPoint, provenance: dict, scores: DataFrame, contributions: DataFrame, record: dict
+) -> dict:
+    """One period's artifact: its queue with every rung's ranks, evidence, contributions and transactions, and the run's blocks.
+
+    scores cover the evaluation periods, contributions (alert_id, feature, value, contribution) the period's alerts;
+    record is the run record.  At most MAX_ALERTS alerts come to the driver.
+    """
+    from triagelake.plans.record import RUNGS, evidence_block, result_block
+
+    of_day = lambda df: df.where(F.to_date("period_start") == F.lit(day).cast("date"))
+    here = of_day(alerts)
+    queue = of_day(backtest.scored_ranks(prepared, scores, point)).select(
+        "alert_id", pseudonym(F.col("subject_account")).alias("subject"), "fired_rules", "first_txn_ts", F.round("alert_amount", 2).alias("alert_amount"), F.round("score", 6).alias("score"),
+        "attempt_ids", "typologies", "is_true_positive", "unattributed_only", *[f"rank_{r}" for r in RUNGS],
     )
-    rows = queue.orderBy("rank_B1").limit(MAX_ALERTS + 1).collect()
+    rows = [r.asDict(recursive=True) for r in queue.orderBy("alert_id").limit(MAX_ALERTS + 1).collect()]
+    if not rows:
+        raise ValueError(f"no alert in {day}")
     if len(rows) > MAX_ALERTS:
         raise ValueError(f"more than {MAX_ALERTS} alerts in {day}")
-    evidence, detail = {}, {}
-    for r in store.publishable_evidence(here).orderBy("alert_id", "rule_id", "name").collect():
+    ids = queue.select("alert_id")
+    evidence, detail, why = {}, {}, {}
+    for r in store.publishable_evidence(here).join(ids, "alert_id", "left_semi").orderBy("alert_id", "rule_id", "name").collect():
         evidence.setdefault(r.alert_id, {}).setdefault(r.rule_id, {})[r.name] = r.value
-    for r in bounded_transactions(here, txns).orderBy("alert_id", "n").collect():
+    for r in bounded_transactions(here, txns).join(ids, "alert_id", "left_semi").orderBy("alert_id", "n").collect():
         detail.setdefault(r.alert_id, []).append(r.asDict())
-    worked = backtest.worked_queue(prepared, point)
+    for r in contributions.join(ids, "alert_id", "left_semi").orderBy("alert_id", F.abs("contribution").desc(), "feature").collect():
+        why.setdefault(r.alert_id, []).append({"feature": r.feature, "value": r.value, "contribution": r.contribution})
+    for row in rows:
+        found = detail.get(row["alert_id"], [])
+        row["ranks"] = {r: row.pop(f"rank_{r}") for r in RUNGS}
+        row |= {"evidence": evidence.get(row["alert_id"], {}), "contributions": why.get(row["alert_id"], []), "transactions": [{k: v for k, v in t.items() if k not in ("alert_id", "true_count")} for t in found]}
+        row["transaction_count"] = found[0]["true_count"] if found else 0
+    plain = lambda df, key: [r.asDict(recursive=True) for r in df.orderBy(key).collect()]
+    hits = sum(r["is_true_positive"] for r in rows)
+    store_key = here.select("engine_version", "param_set_hash").first().asDict()
     out = {
-        "artifact_schema": SCHEMA, "period": day, "k": point.k, "provenance": provenance, "promoted": False,
-        "queue": [r.asDict(recursive=True) | {"evidence": evidence.get(r.alert_id, {}), "transactions": detail.get(r.alert_id, [])} for r in rows],
-        "typologies": [r.asDict() for r in backtest.typology_table(prepared, labels, day, point).orderBy("typology").collect()],
-        "rules": [r.asDict() for r in rule_table(alerts, day).orderBy("rule_id").collect()],
-        "precision": [r.asDict() for r in backtest.precision_pooled(worked).orderBy("rung").collect()],
+        "artifact_schema": SCHEMA, "provenance": provenance | store_key | {"pipeline_run_id": hashlib.sha256(canonical({"schema": SCHEMA, "period": day, "provenance": provenance, **store_key})).hexdigest()},
+        "period": {"start": day, "alerts": len(rows), "true_positives": hits, "base_rate": hits / len(rows)}, "operating_point": {"k": point.k, "evaluation_start": point.evaluation_start},
+        "orderings": list(RUNGS), "result": result_block(record, point), "evidence": evidence_block(record),
+        "rules": plain(rule_table(alerts, day, backtest.attempt_universe(prepared, labels, point)), "rule_id"), "typologies": plain(backtest.typology_table(prepared, labels, day, point), "typology"),
+        "period_attempts": plain(backtest.period_attempt_universe(prepared, labels, day), "attempt_id"), "queue": rows,
     }
     out = json.loads(canonical(out))
     out["artifact_sha256"] = digest(out)
     return out
 
 
+def rows_of(artifact: dict) -> list[dict]:
+    """The queue's rows, flat, for the desk's functions over a frame: ranks as rank_<rung>."""
+    return [{k: v for k, v in row.items() if k != "ranks"} | {f"rank_{r}": n for r, n in row["ranks"].items()} for row in artifact["queue"]]
+
+
 def admit(artifact: dict, pinned: str | None = None, approval: dict | None = None, require_approval: bool = True) -> dict:
     """Returns the artifact if its schema, digest, pin and approval hold; raises otherwise."""
     if artifact.get("artifact_schema") != SCHEMA:

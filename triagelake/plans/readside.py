@@ -30,6 +30,39 @@ def timeline(cases: DataFrame, case_id: str, rail: str | None = None, limit: int
     return (rows if rail is None else rows.where(F.col("format") == rail)).orderBy("n").limit(limit)
 
 
+def case_evidence(cases: DataFrame) -> DataFrame:
+    """(case_id, kind, statement): what a case's replay is, and the bound of every statement about it."""
+    n = F.concat(F.lit("A fixed replay of "), F.count("*").cast("string"), F.lit(" synthetic transactions."))
+    own = cases.groupBy("case_id").agg(n.alias("statement")).select("case_id", F.lit("replay").alias("kind"), "statement")
+    bound = cases.select("case_id").distinct().select("case_id", F.lit("boundary").alias("kind"), F.lit("Scores and explanations are computed beforehand; reading trains and stores nothing.").alias("statement"))
+    return own.unionByName(bound)
+
+
+def provenance(artifact: dict) -> dict:
+    """Where the artifact's data comes from, with the artifact's own digest."""
+    own = artifact["provenance"]
+    return own | {"version": own.get("dataset_version"), "retrieved": own.get("retrieved_at"), "slice_sha256": artifact["artifact_sha256"], "label": "realistic synthetic banking data"}
+
+
+def methodology(artifact: dict) -> dict:
+    """How the queue came about: versions, operating point, orderings and what the gate decided."""
+    own = artifact["provenance"]
+    return {
+        "engine_version": own.get("engine_version"), "param_set_hash": own.get("param_set_hash"), "operating_point": artifact["operating_point"], "orderings": artifact["orderings"],
+        "gate": artifact["result"]["gate"], "evaluation_periods": artifact["result"]["evaluation_periods"],
+    }
+
+
+def period_view(artifact: dict) -> dict:
+    """The period with what is needed to read its queue: operating point, orderings, result, rules, typologies, attempts."""
+    return {k: artifact[k] for k in ("period", "operating_point", "orderings", "result", "rules", "typologies", "period_attempts")}
+
+
+def evidence_view(artifact: dict) -> dict:
+    """The measured run by its parts, and the rung and depth it was measured against."""
+    return {"reference_rung": artifact["result"]["gate"]["reference_rung"], "k": artifact["result"]["k"], "evidence": artifact["evidence"]}
+
+
 def topology(cases: DataFrame) -> DataFrame:
     """Edges among a case's first 18 parties in order of appearance, with their payments."""
     ends = cases.select("case_id", "n", F.posexplode(F.array("from_account", "to_account")).alias("side", "party"))
@@ -60,6 +93,12 @@ def capacity_depth(hours: float, minutes_each: float, alerts: int) -> int:
     return max(1, min(int(hours * 60 // minutes_each), alerts))
 
 
+def capacity(alerts_of_period: DataFrame, hours: float, minutes_each: float) -> DataFrame:
+    """(period, alerts, depth): the depth that the hours cover in each period."""
+    asked = F.lit(int(hours * 60 // minutes_each))
+    return alerts_of_period.select("period", F.col("n_alerts").alias("alerts"), F.greatest(F.lit(1), F.least(asked, F.col("n_alerts"))).alias("depth"))
+
+
 def coverage(ranked: DataFrame, rank: str, at: int) -> DataFrame:
     """Per typology: attempts surfaced, those found down to a depth, and the deepest first find."""
     pairs = ranked.select("period_start", F.col(rank).alias("pos"), F.explode(F.arrays_zip("attempt_ids")).alias("z"), "typologies").select("period_start", "pos", F.col("z.attempt_ids").alias("attempt_id"), "typologies")

@@ -11,18 +11,24 @@ from triagelake.operators import ranker as K
 from triagelake.operators import resample, rules, store
 from triagelake.params import FIXTURE_PARAMS as P
 from triagelake.params import FIXTURE_POINT as O
-from triagelake.plans import artifact, readside
+from triagelake.plans import artifact, readside, record
+from triagelake.session import settled
 from triagelake.sources import ledger
 from triagelake.streaming import daily_counts
 
 _SHARED: dict[tuple, DataFrame] = {}
 
 
+def release() -> None:
+    """Forgets the shared tables, for instance between timed queries."""
+    _SHARED.clear()
+
+
 def _once(name: str, spark: SparkSession, d: str, make) -> DataFrame:
-    """A frame that many queries start from, cached for the life of the application."""
+    """A frame that many queries start from, written once to the scratch folder and shared until release()."""
     key = (spark.sparkContext.applicationId, name, d)
-    if key not in _SHARED or not _SHARED[key].is_cached:
-        _SHARED[key] = make().cache()
+    if key not in _SHARED:
+        _SHARED[key] = settled(make())
     return _SHARED[key]
 
 
@@ -77,8 +83,7 @@ def _text(df: DataFrame, *columns: str) -> DataFrame:
 
 def _rule(name: str):
     def run(s, d):
-        made = rules.each_rule(_txns(s, d), ledger.events_jurisdictions(s, d), P)[name][0]
-        return _text(made.drop("own_mean", "peer_mean"), "txn_ids")
+        return _text(rules.each_rule(_txns(s, d), ledger.events_jurisdictions(s, d), P)[name][0], "txn_ids")
 
     return run
 
@@ -94,12 +99,23 @@ def _order(rung: str):
 
 def _leakage(s, d):
     bad = FE.leakage_report(_alerts(s, d), _txns(s, d), P, 200)
-    sampled = _alerts(s, d).limit(200).agg(F.count("*").cast("int").alias("sampled"))
+    sampled = FE.leakage_sample(_alerts(s, d), 200).agg(F.count("*").cast("int").alias("sampled"))
     return sampled.crossJoin(F.broadcast(bad.agg(F.count("*").cast("int").alias("leaking_features"))))
 
 
+def _reads_ahead(alerts, txns, p):
+    """A builder that breaks the rule on purpose: it counts an account's payments of all days."""
+    ever = txns.groupBy(F.col("from_account").alias("subject_account")).agg(F.count("*").alias("ever_out_count"))
+    built = FE.build_features(alerts, txns, p)
+    return built.join(ever, "subject_account", "left").na.fill(0, ["ever_out_count"]).select(*built.columns, "ever_out_count")
+
+
+def _leakage_caught(s, d):
+    return FE.leakage_report(_alerts(s, d), _txns(s, d), P, 200, build=_reads_ahead)
+
+
 def _models(s, d):
-    return K.ridge_models(_features(s, d), _prepared(s, d), O.evaluation_start)
+    return K.pairwise_models(_features(s, d), _prepared(s, d), O.evaluation_start)
 
 
 def _importance(s, d):
@@ -109,14 +125,72 @@ def _importance(s, d):
     return s.createDataFrame(rows, "feature string, importance double")
 
 
-def _contributions(s, d):
+def _contributions(s, d, day=None):
     fitted = _models(s, d)
-    if not fitted:
-        return s.createDataFrame([], "alert_id string, feature string, contribution double")
-    day = max(fitted)
+    if not fitted or day is not None and day not in fitted:
+        return s.createDataFrame([], "alert_id string, feature string, value double, contribution double")
+    day = day or max(fitted)
     return fitted[day].contributions(_features(s, d).where(F.to_date("period_start") == F.lit(day).cast("date")))
 
 
+def _plain_scores(s, d):
+    """Scores that any engine can give: an order by fired rules and the period's payments."""
+    return _features(s, d).select("alert_id", (100.0 * F.col("fired_rule_count") + F.col("period_out_count") + F.col("period_in_count")).alias("score"))
+
+
+def _learned_scores(s, d):
+    """The pairwise model's scores; alerts of days without a model are equal."""
+    scored = K.walk_forward(_features(s, d), _models(s, d)).select("alert_id", "score")
+    return _features(s, d).select("alert_id").join(scored, "alert_id", "left").na.fill(0.0, ["score"])
+
+
+def _five(s, d, scores=_plain_scores):
+    """The worked queues of the ladder and of the scored order."""
+    name = f"five {scores.__name__}"
+    return _once(name, s, d, lambda: _worked(s, d).unionByName(B.scored_queue(_prepared(s, d), scores(s, d), O)))
+
+
+def _scored_volume(s, d, scores=_plain_scores):
+    best = B.reference_rung(_pooled(s, d)).first()
+    return B.volume_reduction(B.scored_ranks(_prepared(s, d), scores(s, d), O), _worked(s, d), "C1", best.rung if best else "B0", O)
+
+
+def _gate(s, d, scores=_plain_scores):
+    """The lift of the scored order over the strongest rung, its interval, and both tests of the gate."""
+    five = _five(s, d, scores)
+    best = B.reference_rung(_pooled(s, d)).first()
+    over = best.rung if best else "B0"
+    got = B.lift(B.precision_pooled(five)).where(f"rung = 'C1' and over = '{over}'").crossJoin(resample.bootstrap_lift(B.precision_per_period(five), "C1", over, 1000, O.seed))  # one row each
+    first = got.select("over", "lift", "low", "high").first()
+    made = [] if first is None else [(first.over, first.lift, first.low, first.high, *B.gate(first.lift, first.low or 0.0, O).values())]
+    return s.createDataFrame(made, "reference_rung string, lift double, low double, high double, point_passed boolean, interval_passed boolean, passed boolean")
+
+
+def _dispositions(s, d):
+    """Decisions on worked alerts, several for some, told apart by when they were taken."""
+    bad = F.col("rung").isin("B1", "B3") & F.col("is_true_positive")
+    return _worked(s, d).select("alert_id", F.col("rung").alias("at"), F.when(bad, "escalated").otherwise("closed").alias("disposition"))
+
+
+def _record(s, d) -> dict:
+    fitted = _models(s, d)
+    prepared, scores = _prepared(s, d), _learned_scores(s, d)
+    m = record.metrics(prepared, _labels(s, d), scores, O)
+    keys = _alerts(s, d).select("engine_version", "param_set_hash").first().asDict()
+    last = fitted[max(fitted)].importance() if fitted else []
+    return record.run_record(m, O, keys | {"store_digest": store.store_digest(_alerts(s, d))}, {"model_version": "pairwise-1", "features": list(FE.FEATURES)}, last, K.rank_stability(_features(s, d), fitted))
+
+
+def _artifact(s, d) -> dict:
+    return artifact.build_artifact(_alerts(s, d), _txns(s, d), _prepared(s, d), _labels(s, d), "2024-01-10", O, {"dataset": "events"}, _learned_scores(s, d), _contributions(s, d, "2024-01-10"), _record(s, d))
+
+
+def _artifact_queue(s, d):
+    """The built artifact's queue as rows: what the desk reads."""
+    rows = [(r["alert_id"], r["subject"], r["transaction_count"], len(r["transactions"]), len(r["contributions"]), r["rank_B3"], r["rank_C1"]) for r in artifact.rows_of(_artifact(s, d))]
+    return s.createDataFrame(rows, "alert_id string, subject string, transaction_count long, shown long, explained long, rank_b3 int, rank_c1 int")
+
+
 def _replay(s, d):
     rails = F.when(F.col("format") == "purchase", "Cash").when(F.col("format") == "click", "ACH").when(F.col("format") == "view", "Credit Card").otherwise("Cheque")
     flagged = _txns(s, d).where("format <> 'signup' and amount >= 20 and txn_id % 3 = 0").select("txn_id")
@@ -141,7 +215,7 @@ def queries() -> dict:
         "excluded_by_window": lambda s, d: rules.excluded_by_window(_txns(s, d), "2024-01-04", "2024-01-20"),
         "alerts": lambda s, d: _text(_alerts(s, d).drop("rule_evidence", "feature_cutoff_ts"), "fired_rules", "contributing_txn_ids").withColumnRenamed("contributing_txn_ids", "txn_ids"),
         "period_index": lambda s, d: store.period_index(_alerts(s, d)),
-        "alert_evidence": lambda s, d: store.publishable_evidence(_alerts(s, d)).where("name not in ('own_mean', 'peer_mean')"),
+        "alert_evidence": lambda s, d: store.publishable_evidence(_alerts(s, d)),
         "features_history": lambda s, d: _features(s, d).select("alert_id", *h),
         "features_period": lambda s, d: _features(s, d).select("alert_id", *sides),
         "features_shape": lambda s, d: _features(s, d).select("alert_id", *shape),
@@ -165,15 +239,15 @@ def queries() -> dict:
         "reference_rung": lambda s, d: B.reference_rung(_pooled(s, d)),
         "volume_reduction": _volume,
         "pooled_reduction": lambda s, d: B.pooled_reduction(_volume(s, d), O),
-        "bootstrap_mean": lambda s, d: resample.bootstrap_mean(_worked(s, d), "rung", ["period_start", "queue_position"], "is_true_positive", 200, O.seed),
-        "bootstrap_lift": lambda s, d: resample.bootstrap_lift(B.precision_per_period(_worked(s, d)), "B3", "B0", 200, O.seed),
+        "bootstrap_mean": lambda s, d: resample.bootstrap_mean(_worked(s, d), "rung", ["period_start", "queue_position"], "is_true_positive", 1000, O.seed),
+        "bootstrap_lift": lambda s, d: resample.bootstrap_lift(B.precision_per_period(_worked(s, d)), "B3", "B0", 1000, O.seed),
         "spearman_b2_b3": lambda s, d: B.spearman(_ranked(s, d), "rank_B2", "rank_B3", "period_start").withColumn("rho", F.round("rho", 9)),
         "coverage_at_depth": lambda s, d: readside.coverage(_ranked(s, d), "rank_B3", O.k),
         "loses_coverage_first": lambda s, d: readside.loses_coverage_first(readside.coverage(_ranked(s, d), "rank_B3", O.k)),
         "queue_view": lambda s, d: readside.queue_view(_ranked(s, d), "rank_B3", typology="CYCLE").select("period_start", "alert_id", "position"),
         "best_and_worst": lambda s, d: readside.best_and_worst(_volume(s, d)),
         "bounded_transactions": lambda s, d: artifact.bounded_transactions(_alerts(s, d), _txns(s, d)),
-        "rule_table": lambda s, d: artifact.rule_table(_alerts(s, d), "2024-01-10"),
+        "rule_table": lambda s, d: artifact.rule_table(_alerts(s, d), "2024-01-10", _universe(s, d)),
         "funnel": lambda s, d: artifact.funnel(_prepared(s, d), _universe(s, d), _worked(s, d), O),
         "replay_cases": _replay,
         "topology": lambda s, d: readside.topology(_replay(s, d)),
@@ -182,5 +256,33 @@ def queries() -> dict:
         "ranker_importance": _importance,
         "ranker_contributions": _contributions,
         "rank_stability": lambda s, d: K.rank_stability(_features(s, d), _models(s, d)),
+        "leakage_caught": _leakage_caught,
+        "order_c1": lambda s, d: B.scored_ranks(_prepared(s, d), _plain_scores(s, d), O).select("period_start", "alert_id", F.col("rank_C1").alias("position")),
+        "scored_queue": lambda s, d: B.scored_queue(_prepared(s, d), _plain_scores(s, d), O).drop("attempt_ids", "typologies"),
+        "scored_precision": lambda s, d: B.precision_pooled(_five(s, d)),
+        "scored_precision_per_period": lambda s, d: B.precision_per_period(_five(s, d)).where("rung = 'C1'"),
+        "scored_lift": lambda s, d: B.lift(B.precision_pooled(_five(s, d))).where("rung = 'C1'"),
+        "scored_typology_recall": lambda s, d: B.typology_recall(_universe(s, d), _five(s, d)).where("rung = 'C1'"),
+        "scored_unattributed": lambda s, d: B.unattributed(_prepared(s, d), _five(s, d), O).where("rung = 'C1'"),
+        "scored_volume_reduction": _scored_volume,
+        "scored_reduction": lambda s, d: B.pooled_reduction(_scored_volume(s, d), O),
+        "scored_gate": _gate,
+        "recall_intervals": lambda s, d: resample.bootstrap_mean(B.recall_outcomes(_universe(s, d), _five(s, d), "C1"), "typology", ["attempt_id"], "recovered", 1000, O.seed),
+        "contribution_split": lambda s, d: B.contribution_split(B.precision_pooled(_five(s, d))),
+        "learned_precision": lambda s, d: B.precision_pooled(_five(s, d, _learned_scores)).where("rung = 'C1'"),
+        "learned_volume_reduction": lambda s, d: _scored_volume(s, d, _learned_scores),
+        "learned_gate": lambda s, d: _gate(s, d, _learned_scores),
+        "ranking_groups": lambda s, d: K.ranking_groups(_features(s, d), _prepared(s, d), "2024-01-15"),
+        "training_frame": lambda s, d: K.training_frame(_features(s, d), _prepared(s, d), "2024-01-15").select("alert_id", "period_start", "label", "fired_rule_count", "period_out_count"),
+        "period_attempts": lambda s, d: B.period_attempt_universe(_prepared(s, d), _labels(s, d), "2024-01-10"),
+        "typology_table": lambda s, d: B.typology_table(_prepared(s, d), _labels(s, d), "2024-01-10", O),
+        "artifact_queue": _artifact_queue,
+        "case_timeline": lambda s, d: readside.timeline(_replay(s, d), "sim-mixed", "Cash", 3),
+        "case_evidence": lambda s, d: readside.case_evidence(_replay(s, d)),
+        "queue": lambda s, d: readside.queue(_ranked(s, d), "B2", O.k).select("period_start", "alert_id", "position", "worked"),
+        "alert_detail": lambda s, d: readside.alert_view(_ranked(s, d), _alerts(s, d).agg(F.min("alert_id")).first()[0] or "0" * 20, "B1").select("alert_id", "subject_account", "period_start", "position"),
+        "capacity": lambda s, d: readside.capacity(store.period_index(_alerts(s, d)), 7.5, 12),
+        "queue_view_unattributed": lambda s, d: readside.queue_view(_ranked(s, d), "rank_B1", unattributed=True).select("period_start", "alert_id", "position"),
+        "queue_view_disposition": lambda s, d: readside.queue_view(_ranked(s, d), "rank_B2", dispositions=_dispositions(s, d), disposition="escalated").select("period_start", "alert_id", "position"),
         "daily_counts": lambda s, d: daily_counts(s.read.parquet(f"{d}/events.parquet")),
     }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "triagelake", **conf: str) -> SparkSession:
@@ -11,3 +14,20 @@ def session(app: str = "triagelake", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a temporary one in a local run or a test, and only there."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place:
+        return place.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for what outlives a lost one")
+    return tempfile.mkdtemp(prefix="triagelake-scratch-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a written table: what builds on it plans a scan, and a lost executor costs no recomputation."""
+    path = f"{scratch(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from triagelake.params import TYPOLOGIES, Window
+from triagelake.sources.text_rows import SPLIT, before, numbered, with_split
 
 #: The CSV's header, and our names for its columns by position.
 CSV_HEADER = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
@@ -21,20 +23,32 @@ LEDGER = ("txn_id", "ts", "from_account", "to_account", "from_bank", "to_bank",
 def check_header(spark: SparkSession, path: str, expected: str = CSV_HEADER) -> None:
     """Refuses a file whose first line is not the expected header, a byte-order mark aside."""
     first = spark.read.text(path).limit(1).first()
-    if first is None or first[0].lstrip("﻿").rstrip("\r") != expected:
+    if first is None or first[0].lstrip("\ufeff").rstrip("\r") != expected:
         raise ValueError(f"unexpected header in {path}")
 
 
+def check_rows(spark: SparkSession, path: str) -> None:
+    """Refuses a file with a row of more or fewer fields than the header: one pass over all columns."""
+    fields = [T.StructField(n, T.StringType()) for n in (*CSV_NAMES, "_bad")]
+    rows = spark.read.csv(path, header=True, schema=T.StructType(fields), mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    # the second half never holds; it has the reader parse all columns, which is what marks a row
+    wrong = rows.where(F.col("_bad").isNotNull() | (F.concat_ws("", *CSV_NAMES) == "\0"))
+    if not wrong.isEmpty():
+        raise ValueError(f"a row of {path} has another number of fields than the header")
+
+
 def _raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text with txn_id, the row's number in the file."""
+    """All columns as text with txn_id, the row's number in the file. What is not selected is not parsed."""
+    check_header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in CSV_NAMES])
-    rows = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=True)
-    wide = T.StructType([*schema.fields, T.StructField("txn_id", T.LongType())])
-    return spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), wide)
+    return numbered(spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=True), "txn_id")
 
 
 def load_transactions(spark: SparkSession, path: str, window: Window | None = None) -> DataFrame:
-    """The ledger of a transactions CSV without self transfers, optionally cut to a window."""
+    """The ledger of a transactions CSV without self transfers, optionally cut to a window.
+
+    Refuses another header.  The outcome column is never selected, so the reader leaves it out.
+    """
     rows = _raw(spark, path).drop("flag").select(
         "txn_id", F.to_timestamp_ntz("ts", F.lit("yyyy/MM/dd HH:mm")).alias("ts"),
         F.concat_ws("|", "from_bank", "from_name").alias("from_account"), F.concat_ws("|", "to_bank", "to_name").alias("to_account"),
@@ -54,19 +68,32 @@ def load_bank_jurisdictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("bank").agg(F.min("jurisdiction").alias("jurisdiction"))
 
 
+def ingest(spark: SparkSession, path: str, out: str, window: Window | None = None) -> DataFrame:
+    """Checks a transactions CSV, writes its ledger as Parquet by period and reads it back: later reads are pruned."""
+    check_rows(spark, path)
+    load_transactions(spark, path, window).repartition("period").sortWithinPartitions("ts", "txn_id").write.mode("overwrite").partitionBy("period").parquet(out)
+    return spark.read.parquet(out).select(*LEDGER)
+
+
 def parse_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """(key, attempt_id, typology) of the patterns file: one row a transaction line inside a block."""
-    from pyspark.sql import Window as W
+    """(key, attempt_id, typology) of the patterns file: one row a transaction line inside a block.
 
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    lines = lines.withColumn("line", F.rtrim(F.col("line"), F.lit("\r")))
+    Blocks are told by running counts of their first and last lines: within a split of the file by a window, and over
+    splits by sums of one row a split, so no task reads the whole file.
+    """
+    lines = with_split(spark.read.text(path)).withColumn("line", F.rtrim("value", F.lit("\r")))
     begin, end = F.col("line").startswith("BEGIN "), F.col("line").startswith("END ")
-    w = W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)  # a small file, in one part on purpose
-    lines = lines.select(
-        "line", begin.alias("b"), end.alias("e"), F.sum(begin.cast("int")).over(w).alias("begun"), F.sum(end.cast("int")).over(w).alias("ended"),
-        F.last(F.when(begin, F.trim(F.regexp_extract("line", r" - ([^:]*)", 1))), True).over(w).alias("typology"),
-    )
-    body = lines.where("not b and not e and begun > ended and trim(line) <> ''")
+    name = F.when(begin, F.trim(F.regexp_extract("line", r" - ([^:]*)", 1)))
+    lines = lines.select(*SPLIT, "_at", "line", begin.cast("int").alias("b"), end.cast("int").alias("e"), name.alias("name"))
+    per_split = lines.groupBy(*SPLIT).agg(F.sum("b").alias("begun_before"), F.sum("e").alias("ended_before"), F.max_by("name", F.when(F.col("name").isNotNull(), F.col("_at"))).alias("last_name"))
+    earlier = W.orderBy(*SPLIT).rowsBetween(W.unboundedPreceding, -1)
+    splits = before(per_split.withColumn("name_before", F.last("last_name", True).over(earlier)).drop("last_name"), "begun_before", "ended_before")
+    w = W.partitionBy(*SPLIT).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    run = lines.select(*SPLIT, "line", "b", "e", F.sum("b").over(w).alias("begun"), F.sum("e").over(w).alias("ended"), F.last("name", True).over(w).alias("typology"))
+    run = run.join(splits, list(SPLIT)).withColumns({
+        "begun": F.col("begun") + F.col("begun_before"), "ended": F.col("ended") + F.col("ended_before"), "typology": F.coalesce("typology", "name_before"),
+    })
+    body = run.where("b = 0 and e = 0 and begun > ended and trim(line) <> ''")
     return body.select(F.regexp_replace("line", ",[^,]*$", "").alias("key"), (F.col("begun") - 1).alias("attempt_id"), "typology")
 
 
