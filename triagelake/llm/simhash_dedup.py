@@ -87,9 +87,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, columns: t
     marked = fingerprints(docs, width, columns)
     marked = checkpoint(marked)
     first = marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"))
-    # each fingerprint becomes a row a variant, so these few bytes are dealt to all tasks first
+    # each fingerprint becomes a row a variant, so these few bytes are dealt to all tasks first (by a hash of the
+    # fingerprint: by itself they are dealt already, in the few tasks that their bytes are worth)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    root = components(links(first.select("fp").repartition(parts, "fp"), radius))
+    root = components(links(first.select("fp").repartition(parts, F.xxhash64("fp")), radius))
     named = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component"))
     by_fp = named.join(least, "root").select("fp", "component")
