@@ -286,7 +286,7 @@ FROM (SELECT alert_id, unnest(ids) AS txn_id FROM alerts) JOIN ledger USING (txn
 sup AS (SELECT rule_id, count(typology) > 0 AS supported, coalesce(string_agg(typology, ',' ORDER BY typology), '') AS typologies, CAST(coalesce(sum(n), 0) AS BIGINT) AS attempts
   FROM {_SUPPORT} LEFT JOIN (SELECT typology, count(*) AS n FROM universe GROUP BY 1) USING (typology) GROUP BY 1)
 SELECT sup.*, coalesce(store_alerts, 0) AS store_alerts, coalesce(period_alerts, 0) AS period_alerts FROM sup LEFT JOIN vol USING (rule_id)""",
-        "funnel": _TO_UNIVERSE + """, got AS (SELECT rung, count(DISTINCT a) AS recovered FROM (SELECT rung, unnest(attempts) AS a FROM worked) GROUP BY 1)
+        "funnel": _TO_UNIVERSE + """, got AS (SELECT rung, count(*) AS recovered FROM (SELECT DISTINCT rung, unnest(attempts) AS attempt_id FROM worked) JOIN universe USING (attempt_id) GROUP BY 1)
 SELECT r.rung, coalesce(recovered, 0) AS recovered, (SELECT count(*) FROM universe) AS live, (SELECT count(*) FILTER (surfaced) FROM universe) AS surfaced FROM (SELECT DISTINCT rung FROM worked) r LEFT JOIN got USING (rung)""",
         "order_c1": _TO_SCORED + " SELECT CAST(period AS TIMESTAMP) AS period_start, alert_id, rank_c1 AS position FROM scored",
         "scored_queue": _TO_SCORED + " SELECT rung, CAST(period AS TIMESTAMP) AS period_start, pos AS queue_position, population AS period_alerts, alert_id, tp AS is_true_positive, unattr AS unattributed_only FROM c1",

@@ -37,9 +37,9 @@ def rule_table(alerts: DataFrame, day: str, universe: DataFrame) -> DataFrame:
 
 
 def funnel(prepared: DataFrame, universe: DataFrame, worked: DataFrame, point: OperatingPoint) -> DataFrame:
-    """Live and surfaced attempts, and per rung the recovered ones."""
+    """Live and surfaced attempts, and per rung the recovered ones among them."""
     u = universe.agg(F.count("*").alias("live"), F.coalesce(F.sum(F.col("surfaced").cast("int")), F.lit(0)).alias("surfaced"))
-    got = worked.select("rung", F.explode("attempt_ids").alias("a")).groupBy("rung").agg(F.count_distinct("a").alias("recovered"))
+    got = worked.select("rung", F.explode("attempt_ids").alias("attempt_id")).distinct().join(universe.select("attempt_id"), "attempt_id").groupBy("rung").agg(F.count("*").alias("recovered"))
     rungs = worked.select("rung").distinct()
     return rungs.join(got, "rung", "left").na.fill(0).crossJoin(F.broadcast(u))
 
