@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from triagelake.llm import decontam, html_extract, line_dedup, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from triagelake.llm import chat_format, decontam, hard_negatives, html_extract, line_dedup, phrases, pii, piece_codec, quality_ledger, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,17 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_quality_ledger": quality_ledger.op9_quality_ledger,
         "op10_piece_codec": piece_codec.op10_piece_codec,
+        "op11_phrases": phrases.op11_phrases,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_chat_format": chat_format.op13_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op9_quality_ledger": quality_ledger.SQL}
+    return {
+        "op3_line_dedup": line_dedup.SQL,
+        "op9_quality_ledger": quality_ledger.SQL,
+        "op11_phrases": phrases.SQL,
+        "op12_hard_negatives": hard_negatives.SQL,
+        "op13_chat_format": chat_format.SQL,
+    }
