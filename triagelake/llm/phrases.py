@@ -32,7 +32,7 @@ LEAST, LONGEST, COVERED, TOP, UNKNOWN = 30, 4, 80, 2000, "und"
 #: Bits of the table for each frequent gram, and the logarithms of its least and largest size.
 BITS_A_GRAM, MIN_BITS, MAX_BITS = 16, 20, 30
 #: Bytes of text that are counted at once, and the shares in which a language is ranked.
-COUNT_BYTES, SALTS = 8 << 20, 64
+COUNT_BYTES, SALTS = 2 << 20, 64
 _BITMAP = 32768  # bits of a value of bitmap_construct_agg
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
