@@ -1,9 +1,9 @@
 """The learned ordering, trained walk-forward on earlier periods only.
 
-``pairwise_models`` fits a linear order on the pairs of a positive and a negative alert within each period (a period is
-a group), for every evaluation period from one pass: tasks add up each period's second moments, and a model comes from
-the sums of the periods before it.  Spark has no boosted listwise ranker, so the published learned ranker's figures
-cannot be expected to the digit.  ``ridge_models`` is the pointwise form of the same pass.
+The boosted listwise ranker is in ``lambdamart``.  ``pairwise_models`` fits a linear order on the pairs of a positive and
+a negative alert within each period (a period is a group), for every evaluation period from one pass: tasks add up each
+period's second moments, and a model comes from the sums of the periods before it.  ``ridge_models`` is the pointwise
+form of the same pass.
 ``LogisticRanker`` is pointwise on standardised features, ``TreeRanker`` uses boosted trees; either is refitted for
 every period (``models``), so that loop runs on the driver and each fit is some Spark jobs.  Linear contributions
 are exact (weight times standardised value).
@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triagelake.operators import lambdamart
 from triagelake.operators.features import KEYS, feature_columns
 
 
@@ -219,8 +220,15 @@ def pairwise_models(features: DataFrame, prepared: DataFrame, start: str, reg: f
     return out
 
 
-def _scored(features: DataFrame, by_day: dict[str, RidgeRanker], name: str) -> DataFrame:
-    """features' keys with the score of the model of each row's day: one join to a table of one row a period."""
+def _all_of_one_kind(fitted: dict[str, Ranker]) -> bool:
+    """Whether one job can score all days: linear models are joined to their rows, boosted ones are broadcast together."""
+    return bool(fitted) and any(all(isinstance(m, kind) for m in fitted.values()) for kind in (RidgeRanker, lambdamart.LambdaMart))
+
+
+def _scored(features: DataFrame, by_day: dict[str, Ranker], name: str) -> DataFrame:
+    """features' keys with the score of the model of each row's day: for linear models one join to a table of one row a period."""
+    if isinstance(next(iter(by_day.values())), lambdamart.LambdaMart):
+        return lambdamart.scored(features, by_day, name)
     spark = features.sparkSession
     rows = [(d, [w / s for w, s in zip(m.weights, m.sd)], float(-sum(w * a / s for w, a, s in zip(m.weights, m.mean, m.sd)))) for d, m in by_day.items()]
     table = spark.createDataFrame(rows, "day string, w array<double>, b double")
@@ -264,7 +272,7 @@ def models(features: DataFrame, prepared: DataFrame, start: str, make=LogisticRa
 
 def walk_forward(features: DataFrame, fitted: dict[str, Ranker]) -> DataFrame:
     """(alert_id, period_start, score), each period scored by the model of the periods before it."""
-    if fitted and all(isinstance(m, RidgeRanker) for m in fitted.values()):
+    if _all_of_one_kind(fitted):
         return _scored(features, fitted, "score")
     out = None
     for day, model in fitted.items():
@@ -285,9 +293,9 @@ def rank_stability(features: DataFrame, fitted: dict[str, Ranker], least: int =
     before = [str(r.d) for r in features.select(F.to_date("period_start").alias("d")).distinct().orderBy("d").collect()]  # one row a period
     trained = [d for d in fitted if sum(x < d for x in before) >= least]
     days, out = trained, None  # a model with enough periods behind it is followed by such models only
-    if len(days) > 1 and all(isinstance(m, RidgeRanker) for m in fitted.values()):
+    if len(days) > 1 and _all_of_one_kind(fitted):
         now = _scored(features, {d: fitted[d] for d in days[1:]}, "b")
-        then = _scored(features, dict(zip(days[1:], fitted.values())), "a")
+        then = _scored(features, dict(zip(days[1:], (fitted[d] for d in days[:-1]))), "a")
         return spearman(now.join(then, ["alert_id", "period_start"]), "a", "b", "period_start")
     for before, day in zip(days[:-1], days[1:]):
         rows = features.where(F.to_date("period_start") == F.lit(day).cast("date"))

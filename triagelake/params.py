@@ -100,9 +100,27 @@ class OperatingPoint:
     gate: float = 1.3
 
 
+@dataclass(frozen=True)
+class Boost:
+    """The boosted ranker. The published rounds, leaves, rate, least rows and truncation (the worked volume).
+
+    depth bounds the passes a round; bins and l2 are our own.
+    """
+
+    rounds: int = 200
+    leaves: int = 15
+    rate: float = 0.05
+    least_rows: int = 40
+    truncation: int = 126
+    depth: int = 6
+    bins: int = 64
+    l2: float = 1e-3
+
+
 #: The bundled event tables as a ledger: parameters under which every rule fires.
 FIXTURE_PARAMS = Parameters(
     r1_threshold=100.0, r1_band=0.40, r2_min_amount=20.0, r2_tolerance=0.10, r3_min_originators=12, r4_min_beneficiaries=10, r5_min_amount=1.0, r5_multiple=0.1,
     r6_lookback_periods=2, r6_dormancy_ceiling=1, r6_activation_count=4, r7_formats=("purchase", "signup"), r7_min_amount=10.0, r7_min_count=2, r8_peer_multiple=1.5,
 )
 FIXTURE_POINT = OperatingPoint(k=20, evaluation_start="2024-01-04", prior_weight=20.0)
+FIXTURE_BOOST = Boost(rounds=20, least_rows=10, truncation=20, depth=4)

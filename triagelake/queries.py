@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from triagelake.operators import backtest as B
 from triagelake.operators import features as FE
+from triagelake.operators import lambdamart, resample, rules, store
 from triagelake.operators import ranker as K
-from triagelake.operators import resample, rules, store
+from triagelake.params import FIXTURE_BOOST
 from triagelake.params import FIXTURE_PARAMS as P
 from triagelake.params import FIXTURE_POINT as O
 from triagelake.plans import artifact, readside, record
@@ -16,7 +17,7 @@ from triagelake.session import settled
 from triagelake.sources import ledger
 from triagelake.streaming import daily_counts
 
-_SHARED: dict[tuple, DataFrame] = {}
+_SHARED: dict[tuple, object] = {}
 
 
 def release() -> None:
@@ -114,7 +115,15 @@ def _leakage_caught(s, d):
     return FE.leakage_report(_alerts(s, d), _txns(s, d), P, 200, build=_reads_ahead)
 
 
-def _models(s, d):
+def _models(s, d) -> dict[str, lambdamart.LambdaMart]:
+    """C1's models, trained once and shared until release()."""
+    key = (s.sparkContext.applicationId, "models", d)
+    if key not in _SHARED:
+        _SHARED[key] = lambdamart.lambdamart_models(_features(s, d), _prepared(s, d), O.evaluation_start, FIXTURE_BOOST)
+    return _SHARED[key]
+
+
+def _linear_models(s, d):
     return K.pairwise_models(_features(s, d), _prepared(s, d), O.evaluation_start)
 
 
@@ -139,7 +148,7 @@ def _plain_scores(s, d):
 
 
 def _learned_scores(s, d):
-    """The pairwise model's scores; alerts of days without a model are equal."""
+    """The boosted model's scores; alerts of days without a model are equal."""
     scored = K.walk_forward(_features(s, d), _models(s, d)).select("alert_id", "score")
     return _features(s, d).select("alert_id").join(scored, "alert_id", "left").na.fill(0.0, ["score"])
 
@@ -178,7 +187,7 @@ def _record(s, d) -> dict:
     m = record.metrics(prepared, _labels(s, d), scores, O)
     keys = _alerts(s, d).select("engine_version", "param_set_hash").first().asDict()
     last = fitted[max(fitted)].importance() if fitted else []
-    return record.run_record(m, O, keys | {"store_digest": store.store_digest(_alerts(s, d))}, {"model_version": "pairwise-1", "features": list(FE.FEATURES)}, last, K.rank_stability(_features(s, d), fitted))
+    return record.run_record(m, O, keys | {"store_digest": store.store_digest(_alerts(s, d))}, {"model_version": "lambdamart-1", "features": list(FE.FEATURES)}, last, K.rank_stability(_features(s, d), fitted))
 
 
 def _artifact(s, d) -> dict:
@@ -253,6 +262,7 @@ def queries() -> dict:
         "topology": lambda s, d: readside.topology(_replay(s, d)),
         "case_list": lambda s, d: readside.case_list(_replay(s, d)),
         "ranker_scores": lambda s, d: K.walk_forward(_features(s, d), _models(s, d)),
+        "pairwise_scores": lambda s, d: K.walk_forward(_features(s, d), _linear_models(s, d)),
         "ranker_importance": _importance,
         "ranker_contributions": _contributions,
         "rank_stability": lambda s, d: K.rank_stability(_features(s, d), _models(s, d)),
