@@ -53,6 +53,24 @@ def test_another_header_is_refused(spark, tmp_path, header):
         ledger.load_transactions(spark, str(path))
 
 
+@pytest.mark.parametrize("size", ["134217728", "64"])
+def test_every_file_of_a_folder_must_have_the_header(spark, tmp_path, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        folder = tmp_path / "many"
+        folder.mkdir()
+        (folder / "a.csv").write_text(ledger.CSV_HEADER + "\n" + ",".join(ROWS[0]) + "\n")
+        (folder / "b.csv").write_text("\ufeff" + ledger.CSV_HEADER + "\r\n" + ",".join(ROWS[2]) + "\r\n", encoding="utf-8")
+        assert ledger.load_transactions(spark, str(folder)).count() == 2
+        names = ledger.CSV_HEADER.split(",")
+        names[5], names[7] = names[7], names[5]  # paid before received
+        (folder / "c.csv").write_text(",".join(names) + "\n" + ",".join(ROWS[3]) + "\n")
+        with pytest.raises(ValueError, match="header in .*c.csv"):
+            ledger.load_transactions(spark, str(folder))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_a_byte_order_mark_is_taken_and_short_rows_are_refused(spark, tmp_path):
     path = tmp_path / "bom.csv"
     path.write_text("﻿" + ledger.CSV_HEADER + "\n" + ",".join(ROWS[0]) + "\n", encoding="utf-8")

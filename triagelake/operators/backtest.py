@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import draw
+from triagelake.operators import ordering
 from triagelake.params import RULE_SUPPORT, RULES, TYPOLOGIES, OperatingPoint
 
 LADDER = ("B0", "B1", "B2", "B3")
@@ -99,10 +100,19 @@ def order_keys(rung: str, seed: int) -> list[Column]:
     }[rung]
 
 
-def ranks(prepared: DataFrame, point: OperatingPoint, rungs=LADDER) -> DataFrame:
-    """The whole period's positions in every rung: prepared with rank_<rung>."""
+def ranks(prepared: DataFrame, point: OperatingPoint, rungs=LADDER, task_rows: int = ordering.TASK_ROWS) -> DataFrame:
+    """The whole period's positions in every rung: prepared with rank_<rung>.
+
+    Periods of at most task_rows alerts are each ordered by one task; larger ones in ranges, with the same positions.
+    """
     out = b3_priority(prepared, point.prior_weight) if "B3" in rungs else prepared
-    return out.withColumns({f"rank_{r}": F.row_number().over(Window.partitionBy("period_start").orderBy(*order_keys(r, point.seed))) for r in rungs})
+    if ordering.largest_group(prepared, "period_start") <= task_rows:
+        return out.withColumns({f"rank_{r}": F.row_number().over(Window.partitionBy("period_start").orderBy(*order_keys(r, point.seed))) for r in rungs})
+    needed = [c for c in ("alert_id", "period_start", "first_txn_ts", "alert_amount", "priority", "score") if c in out.columns]
+    for r in rungs:
+        at = ordering.positions(out.select(*needed), ["period_start"], order_keys(r, point.seed), f"rank_{r}")
+        out = out.join(at.select("alert_id", "period_start", f"rank_{r}"), ["alert_id", "period_start"])
+    return out
 
 
 def with_scores(prepared: DataFrame, scores: DataFrame) -> DataFrame:
@@ -235,10 +245,17 @@ def pooled_reduction(volume: DataFrame, point: OperatingPoint) -> DataFrame:
     return volume.agg(F.try_divide(F.sum("alerts_freed"), F.lit(point.k) * F.count("alerts_depth")).alias("reduction"))
 
 
-def spearman(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
-    """Rank correlation with average ranks for ties, within groups if asked."""
+def spearman(df: DataFrame, a: str, b: str, by: str | None = None, task_rows: int = ordering.TASK_ROWS) -> DataFrame:
+    """Rank correlation with average ranks for ties, within groups if asked.
+
+    Groups of at most task_rows rows are each ranked by one task; larger ones in ranges, with the same ranks.
+    """
     part = [by] if by else []
-    # without groups the ranks are global; callers give one ranking of bounded size or a group column
+    if ordering.largest_group(df, *part) > task_rows:
+        rows = df.select(*part, F.col(a).alias("_a"), F.col(b).alias("_b"))
+        for value, rank in (("_a", "ra"), ("_b", "rb")):
+            rows = rows.join(ordering.average_ranks(rows, part, value, rank), [*part, value])
+        return rows.groupBy(*part).agg(F.corr("ra", "rb").alias("rho"))
     avg = lambda c: F.rank().over(Window.partitionBy(*part).orderBy(c)) + (F.count("*").over(Window.partitionBy(*part, c)) - 1) / 2
     both = df.select(*part, avg(a).alias("ra"), avg(b).alias("rb"))
     return both.groupBy(*part).agg(F.corr("ra", "rb").alias("rho"))

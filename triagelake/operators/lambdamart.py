@@ -252,6 +252,21 @@ def _histogram(bins: np.ndarray, slot: np.ndarray, slots: int, g: np.ndarray, h:
     return np.stack(parts, axis=-1).reshape(slots, width, n_bins, 3)
 
 
+def _filled(x: np.ndarray) -> bytes:
+    """Places and values of what is not zero: few bins of a small node hold anything."""
+    at = np.flatnonzero(x)
+    return at.astype(np.int64).tobytes() + x[at].tobytes()
+
+
+def _added(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sums of several ``_filled``."""
+    both = [np.frombuffer(p, np.int64).reshape(2, -1) for p in parts]
+    at, back = np.unique(np.concatenate([p[0] for p in both]), return_inverse=True)
+    total = np.zeros(len(at), np.int64)
+    np.add.at(total, back, np.concatenate([p[1] for p in both]))
+    return at, total
+
+
 def _packed(rows: DataFrame, counts: DataFrame, edges: list[np.ndarray], parts: int) -> DataFrame:
     """Alerts (day, id, label, x) in rows of about BLOCK alerts of one day: ids, labels, bins, and no scores yet."""
     width = len(edges)
@@ -369,11 +384,11 @@ class _Training:
                         add.append(((m, day), np.stack([own_g, own_h])))
                     for key, x in add:
                         found[key] = found[key] + x if key in found else x
-            yield pa.RecordBatch.from_pylist([{"model": m, "day": d, "sums": x.tobytes()} for (m, d), x in found.items()], shape)
+            yield pa.RecordBatch.from_pylist([{"model": m, "day": d, "sums": _filled(x.ravel())} for (m, d), x in found.items()], shape)
 
         def join(t: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, np.int64) for x in t.column("sums").to_pylist())
-            return pa.table({"model": t.column("model").slice(0, 1), "day": t.column("day").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+            at, total = _added(t.column("sums").to_pylist())
+            return pa.table({"model": t.column("model").slice(0, 1), "day": t.column("day").slice(0, 1), "sums": pa.array([at.tobytes() + total.tobytes()], pa.binary())})
 
         shape = pa.schema([("model", pa.int32()), ("day", pa.string()), ("sums", pa.binary())])
         kind = "model int, day string, sums binary"
@@ -381,7 +396,7 @@ class _Training:
             return {}
         got = self.blocks.mapInArrow(run, kind).groupBy("model", "day").applyInArrow(join, kind).collect()  # one histogram a model, one list a period
         sent.unpersist()
-        return {(r.model, r.day): np.frombuffer(r.sums, np.int64) for r in got}
+        return {(r.model, r.day): np.frombuffer(r.sums, np.int64).reshape(2, -1) for r in got}
 
     def round(self) -> None:
         """One tree more for every model."""
@@ -399,8 +414,9 @@ class _Training:
             if not level:
                 for key, x in found.items():
                     if key[1]:
-                        g, h = x.reshape(2, -1)
-                        own[key] = [own[key][0] + g, own[key][1] + h]
+                        more = np.zeros(2 * len(own[key][0]), np.int64)
+                        more[x[0]] = x[1]
+                        own[key] = [a + b for a, b in zip(own[key], more.reshape(2, -1))]
             for m, tree in enumerate(growing):
                 if not slots[m] or not by_model[m]:
                     slots[m] = {}
@@ -412,7 +428,7 @@ class _Training:
                 at = slot[tree.nodes(bins)]
                 hist = _histogram(bins[at >= 0], at[at >= 0], len(slots[m]), g[at >= 0], h[at >= 0], self.n_bins)
                 if (m, "") in found:
-                    hist = hist + found[m, ""].reshape(hist.shape)
+                    hist.reshape(-1)[found[m, ""][0]] += found[m, ""][1]
                 leaves[m], slots[m] = grow(tree, slots[m], hist, leaves[m], boost)
             if not any(slots):
                 break
@@ -468,7 +484,7 @@ def lambdamart_models(features: DataFrame, prepared: DataFrame, start: str, boos
     edges = [np.unique(np.array(e, float)) for e in cuts]
     table = spark.createDataFrame([(d, n) for d, (n, _) in of_day.items()], "day string, n long")
     size = sum(-(-n // BLOCK) for n, _ in of_day.values())
-    blocks = _packed(rows.where(F.col("day") < days[-1]), table, edges, max(1, min(size, 3 * spark.sparkContext.defaultParallelism)))
+    blocks = _packed(rows.where(F.col("day") < days[-1]), table, edges, min(-(-size // 4), 3 * spark.sparkContext.defaultParallelism))
     out = {}
     for k in range(0, len(days), TOGETHER):
         training = _Training(blocks, days[k : k + TOGETHER], of_day, edges, boost)

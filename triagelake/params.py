@@ -123,4 +123,4 @@ FIXTURE_PARAMS = Parameters(
     r6_lookback_periods=2, r6_dormancy_ceiling=1, r6_activation_count=4, r7_formats=("purchase", "signup"), r7_min_amount=10.0, r7_min_count=2, r8_peer_multiple=1.5,
 )
 FIXTURE_POINT = OperatingPoint(k=20, evaluation_start="2024-01-04", prior_weight=20.0)
-FIXTURE_BOOST = Boost(rounds=20, least_rows=10, truncation=20, depth=4)
+FIXTURE_BOOST = Boost(rounds=10, leaves=8, rate=0.1, least_rows=10, truncation=20, depth=3)

@@ -7,8 +7,8 @@ The outcome column of the CSV is never selected here; only the label readers rea
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.params import TYPOLOGIES, Window
@@ -21,10 +21,16 @@ LEDGER = ("txn_id", "ts", "from_account", "to_account", "from_bank", "to_bank",
 
 
 def check_header(spark: SparkSession, path: str, expected: str = CSV_HEADER) -> None:
-    """Refuses a file whose first line is not the expected header, a byte-order mark aside."""
-    first = spark.read.text(path).limit(1).first()
-    if first is None or first[0].lstrip("\ufeff").rstrip("\r") != expected:
-        raise ValueError(f"unexpected header in {path}")
+    """Refuses a path of which any file's first line is not the expected header, a byte-order mark aside, and one without a line.
+
+    The first lines are those of each file's first split; only whether one differs comes back.
+    """
+    lines = with_split(spark.read.text(path)).where("_start = 0")
+    first = lines.groupBy("_file").agg(F.min_by("value", "_at").alias("line"))
+    line = F.rtrim(F.ltrim("line", F.lit("\ufeff")), F.lit("\r"))
+    got = first.agg(F.count("*").alias("files"), F.min(F.when(line != expected, F.col("_file"))).alias("other")).first()
+    if not got.files or got.other is not None:
+        raise ValueError(f"unexpected header in {got.other or path}")
 
 
 def check_rows(spark: SparkSession, path: str) -> None:
