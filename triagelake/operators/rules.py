@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import cents, day_number, money_sum
+from triagelake.operators import sweep
 from triagelake.params import Parameters
 
 USD = "US Dollar"
@@ -48,37 +51,89 @@ def _near_buckets(least: float, tolerance: float) -> Column:
     return F.sequence(at(1 - tolerance, -1e-6), at(1 + tolerance, 1e-6))
 
 
-def r2_rapid_movement(txns: DataFrame, p: Parameters) -> DataFrame:
-    """Money in and nearly the same amount out within hours of one day."""
+#: Payments of one side of a sweep; busier (account, day, amount band)s are cut into a grid of shares of this size.
+SHARE_ROWS = 1 << 19
+
+
+def _sweep(t: pa.Table, tolerance: float, span: int) -> pa.Table:
+    """(subject_account, period, txn_id, amount, n) of one group's matched payments: amount and n, its matches, of those in."""
+    side = t.column("is_out").to_numpy()
+    ts, amount, ids = (t.column(c).to_numpy() for c in ("at", "amount", "txn_id"))
+    came, went = np.flatnonzero(~side), np.flatnonzero(side)
+    n, hit = sweep.matches(ts[came], amount[came], ts[went], amount[went], tolerance, span)
+    came, n, went = came[n > 0], n[n > 0], went[hit]
+    keep = pa.array(np.concatenate([came, went]))
+    none = pa.nulls(len(went))
+    return pa.table({
+        "subject_account": t.column("subject_account").take(keep), "period": t.column("period").take(keep), "txn_id": pa.array(ids[keep]),
+        "amount": pa.concat_arrays([pa.array(amount[came]), none.cast(pa.float64())]), "n": pa.concat_arrays([pa.array(n), none.cast(pa.int64())]),
+    })
+
+
+def r2_rapid_movement(txns: DataFrame, p: Parameters, share_rows: int = SHARE_ROWS) -> DataFrame:
+    """Money in and nearly the same amount out within hours of one day.
+
+    Pairs are counted by a sweep over each account's day and amount band, and never formed.  A band with more payments
+    than share_rows on a side is cut into a grid of shares: each share of one side meets each of the other once.
+    """
     big = txns.where(F.col("amount") >= p.r2_min_amount)
-    came = big.select(F.col("to_account").alias("subject_account"), "period", F.col("ts").alias("in_ts"), F.col("amount").alias("in_amount"), F.col("txn_id").alias("in_id"))
-    went = big.select(F.col("from_account").alias("subject_account"), "period", F.col("ts").alias("out_ts"), F.col("amount").alias("out_amount"), F.col("txn_id").alias("out_id"))
-    pairs = came.withColumn("bucket", F.explode(_near_buckets(p.r2_min_amount, p.r2_tolerance))).join(
-        went.withColumn("bucket", _bucket(F.col("out_amount"), p.r2_min_amount, p.r2_tolerance)), ["subject_account", "period", "bucket"]
-    ).where(
-        (F.col("out_ts") >= F.col("in_ts")) & (F.expr("timestampdiff(HOUR, in_ts, out_ts)") <= p.r2_max_hours)
-        & (F.abs(F.col("out_amount") - F.col("in_amount")) <= F.col("in_amount") * p.r2_tolerance)
-    )
-    ids = F.array_sort(F.array_union(F.collect_set("in_id"), F.collect_set("out_id")))
-    return pairs.groupBy("subject_account", "period").agg(F.count("*").alias("n"), F.max("in_amount").alias("max_amount"), ids.alias("txn_ids"))
+    side = lambda account, bucket, is_out: big.select(
+        F.col(account).alias("subject_account"), "period", F.col("amount").alias("in_amount"), "ts", "txn_id"
+    ).select("subject_account", "period", bucket.alias("bucket"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("at"), F.col("in_amount").alias("amount"), "txn_id", F.lit(is_out).alias("is_out"))
+    rows = side("to_account", F.explode(_near_buckets(p.r2_min_amount, p.r2_tolerance)), False).unionByName(
+        side("from_account", _bucket(F.col("in_amount"), p.r2_min_amount, p.r2_tolerance), True)
+    )
+    group = ["subject_account", "period", "bucket"]
+    one = F.col("is_out").cast("long")
+    sizes = rows.groupBy(*group).agg(F.sum(1 - one).alias("came"), F.sum(one).alias("went")).where("came > 0 and went > 0")
+    shares = lambda c: F.ceil(F.col(c) / share_rows).cast("int")
+    rows = rows.join(sizes.select(*group, shares("came").alias("ins"), shares("went").alias("outs")), group)
+    own = F.pmod(F.xxhash64("txn_id"), F.when(F.col("is_out"), F.col("outs")).otherwise(F.col("ins")))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_out"), F.col("ins")).otherwise(F.col("outs")) - 1))
+    rows = rows.withColumns({"own": own.cast("int")}).withColumn("other", other)
+    rows = rows.select(*group, F.when(F.col("is_out"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("is_out"), F.col("own")).otherwise(F.col("other")).alias("j"), "at", "amount", "txn_id", "is_out")
+    tolerance, span = p.r2_tolerance, (math.floor(p.r2_max_hours) + 1) * 3_600_000_000
+    shape = "subject_account string, period date, txn_id long, amount double, n long"
+    found = rows.groupBy(*group, "i", "j").applyInArrow(lambda t: _sweep(t, tolerance, span), shape)
+    per_txn = found.groupBy("subject_account", "period", "txn_id").agg(F.max("amount").alias("amount"), F.sum("n").alias("n"))
+    return per_txn.groupBy("subject_account", "period").agg(F.sum("n").alias("n"), F.max("amount").alias("max_amount"), F.array_sort(F.collect_list("txn_id")).alias("txn_ids"))
+
+
+def _ids_of(fires: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """fires with the ids of their rows: only what has fired is gathered."""
+    held = rows.select(*key, "txn_id").join(fires.select(*key), key, "left_semi")
+    return fires.join(held.groupBy(*key).agg(_ids()), key)
 
 
 def _fan(txns: DataFrame, subject: str, other: str, window: int, least: int) -> DataFrame:
     """Distinct counterparties over trailing calendar days, on the days on which the subject is active.
 
-    Each day's counterparties are dealt to the days whose window holds them, so the count is one distinct aggregation
-    that combines before its shuffle.  Only then are the transactions of the subjects that fire gathered.
+    A counterparty counts on the days of its windows' union: +1 on a day that none of its earlier windows reaches, and
+    -1 on the day after one that no later day prolongs.  The running sum of a subject's days is the distinct count, for
+    any length of window from the same rows.  Only then are the transactions of the subjects that fire gathered.
     """
-    daily = txns.groupBy(F.col(subject).alias("subject_account"), "period", F.col(other).alias("party")).agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"))
-    active = daily.select("subject_account", "period").distinct()
-    dealt = F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: F.date_add("period", d)))
-    per_party = daily.withColumn("period", dealt).groupBy("subject_account", "period", "party").agg(F.sum("amount").alias("amount"))
-    counted = per_party.groupBy("subject_account", "period").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"))
-    fires = counted.where(F.col("n") >= least).join(active, ["subject_account", "period"], "left_semi")
+    daily = txns.groupBy(F.col(subject).alias("subject_account"), F.col(other).alias("party"), "period").agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("amount"))
+    of_party = Window.partitionBy("subject_account", "party").orderBy("period")
+    runs = daily.withColumns({"last": F.lag("period").over(of_party), "next": F.lead("period").over(of_party)})
+    begins = F.col("last").isNull() | (F.datediff("period", "last") > window)
+    ends = F.col("next").isNull() | (F.datediff("next", "period") > window)
+    none = F.lit(None).cast("decimal(28,2)")
+    step = lambda day, delta, amount, active: F.struct(day.alias("period"), delta.cast("long").alias("delta"), amount.alias("amount"), F.lit(active).alias("active"))
+    steps = F.array(
+        step(F.col("period"), begins.cast("int"), F.col("amount").cast("decimal(28,2)"), True), F.when(ends, step(F.date_add("period", window), F.lit(-1), none, False))
+    )
+    days = runs.select("subject_account", F.explode(F.array_compact(steps)).alias("s")).select("subject_account", "s.*")
+    days = days.groupBy("subject_account", "period").agg(F.sum("delta").alias("delta"), F.sum("amount").alias("amount"), F.max("active").alias("active"))
+    of_subject = Window.partitionBy("subject_account").orderBy(day_number("period"))
+    counted = days.select(
+        "subject_account", "period", "active", F.sum("delta").over(of_subject.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
+        F.sum("amount").over(of_subject.rangeBetween(-(window - 1), 0)).cast("double").alias("total"),
+    )
+    fires = counted.where(F.col("active") & (F.col("n") >= least)).drop("active")
     back = F.explode(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda d: F.date_sub("period", d)))
-    days = fires.select("subject_account", "period", back.alias("day"))
-    held = txns.select(F.col(subject).alias("subject_account"), F.col("period").alias("day"), "txn_id").join(days, ["subject_account", "day"])
-    return fires.join(held.groupBy("subject_account", "period").agg(_ids()), ["subject_account", "period"])
+    asked = fires.select("subject_account", "period", back.alias("day"))
+    held = txns.select(F.col(subject).alias("subject_account"), F.col("period").alias("day"), "txn_id").join(asked, ["subject_account", "day"])
+    return _ids_of(fires, held, ["subject_account", "period"])
 
 
 def r3_fan_in(txns: DataFrame, p: Parameters) -> DataFrame:
@@ -100,11 +155,13 @@ def r5_round_amounts(txns: DataFrame, p: Parameters) -> DataFrame:
 
 def r6_dormant_active(txns: DataFrame, p: Parameters) -> DataFrame:
     """A burst of payments after quiet days; the ledger's first days have no look-back and never fire."""
-    daily = txns.groupBy(F.col("from_account").alias("subject_account"), "period").agg(F.count("*").alias("n"), _ids())
+    rows = txns.withColumnRenamed("from_account", "subject_account")
+    daily = rows.groupBy("subject_account", "period").agg(F.count("*").alias("n"))
     w = Window.partitionBy("subject_account").orderBy(day_number("period")).rangeBetween(-p.r6_lookback_periods, -1)
     first = txns.agg(F.min("period").alias("first"))  # one row
     out = daily.withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).crossJoin(F.broadcast(first))
-    return out.where((F.datediff("period", "first") >= p.r6_lookback_periods) & (F.col("prior") <= p.r6_dormancy_ceiling) & (F.col("n") >= p.r6_activation_count)).drop("first")
+    fires = out.where((F.datediff("period", "first") >= p.r6_lookback_periods) & (F.col("prior") <= p.r6_dormancy_ceiling) & (F.col("n") >= p.r6_activation_count)).drop("first")
+    return _ids_of(fires, rows, ["subject_account", "period"]).select("subject_account", "period", "n", "txn_ids", "prior")
 
 
 def r7_corridor(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> DataFrame:
@@ -120,7 +177,9 @@ def r7_corridor(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> Dat
 
 def r8_peer_velocity(txns: DataFrame, p: Parameters) -> DataFrame:
     """Far more payments than the account's own recent days and than its bank's accounts on that day."""
-    daily = txns.groupBy(F.col("from_account").alias("subject_account"), F.col("from_bank").alias("bank"), "period").agg(F.count("*").alias("n"), _ids())
+    key = ["subject_account", "bank", "period"]
+    rows = txns.select(F.col("from_account").alias("subject_account"), F.col("from_bank").alias("bank"), "period", "txn_id")
+    daily = rows.groupBy(*key).agg(F.count("*").alias("n"))
     own = Window.partitionBy("subject_account", "bank").orderBy(day_number("period")).rangeBetween(-p.r8_lookback_periods, -1)
     peers = daily.groupBy("bank", "period").agg(F.avg("n").alias("peer_mean"))
     out = daily.withColumns({"own_mean": F.avg("n").over(own), "prior_periods": F.count("n").over(own)}).join(peers, ["bank", "period"])
@@ -128,7 +187,8 @@ def r8_peer_velocity(txns: DataFrame, p: Parameters) -> DataFrame:
         (F.col("prior_periods") >= p.r8_min_prior_periods) & (F.col("n") >= p.r8_min_count)
         & (F.col("n") >= p.r8_own_multiple * F.col("own_mean")) & (F.col("n") >= p.r8_peer_multiple * F.col("peer_mean"))
     )
-    return out.where(fire).select("subject_account", "period", "n", F.round("own_mean", 3).alias("own_mean"), F.round("peer_mean", 3).alias("peer_mean"), "prior_periods", "txn_ids")
+    fires = _ids_of(out.where(fire), rows, key)
+    return fires.select("subject_account", "period", "n", F.round("own_mean", 3).alias("own_mean"), F.round("peer_mean", 3).alias("peer_mean"), "prior_periods", "txn_ids")
 
 
 def each_rule(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> dict[str, tuple[DataFrame, dict]]:
