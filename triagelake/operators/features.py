@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from triagelake.functions import cents, day_number, draw
 from triagelake.params import RULES, Parameters
+from triagelake.sources import period_table
 
 VERSION = "features-1"
 KEYS = ("alert_id", "subject_account", "period_start", "feature_cutoff_ts")
@@ -100,13 +101,12 @@ def feature_columns(df: DataFrame) -> list[str]:
 
 def write_features(built: DataFrame, path: str) -> None:
     """The feature table as Parquet, a folder a period, so that walk-forward reads only the periods it needs."""
-    out = built.withColumn("period", F.to_date("period_start"))
-    out.repartition("period").sortWithinPartitions("alert_id").write.mode("overwrite").partitionBy("period").parquet(path)
+    period_table.write(built.withColumn("period", F.to_date("period_start")), path, "alert_id")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """A written feature table; refuses one of another version."""
-    out = spark.read.parquet(path).drop("period")
+    out = period_table.read(spark, path).drop("period")
     if not out.where(F.col("feature_version") != VERSION).isEmpty():
         raise ValueError(f"the table at {path} is not of version {VERSION}")
     return out

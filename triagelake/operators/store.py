@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.functions import alert_id
 from triagelake.params import ENGINE, Parameters
+from triagelake.sources import period_table
 
 
 def build_alerts(rows: DataFrame, p: Parameters) -> DataFrame:
@@ -32,20 +35,47 @@ def period_index(alerts: DataFrame) -> DataFrame:
 def write_store(alerts: DataFrame, root: str, p: Parameters) -> str:
     """Replaces the store of this engine and parameter set: one folder a period."""
     path = f"{root}/{p.store_version()}"
-    out = alerts.withColumn("period", F.to_date("period_start"))
-    out.repartition("period").sortWithinPartitions("period", "alert_id").write.mode("overwrite").partitionBy("period").parquet(path)
+    period_table.write(alerts.withColumn("period", F.to_date("period_start")), path, "alert_id")
     return path
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("period")
+    return period_table.read(spark, path).drop("period")
+
+
+def digest_tree(alerts: DataFrame) -> DataFrame:
+    """(level, period, prefix, digest, alerts): a Merkle tree of the store's content.
+
+    Level 3 has the digest of the alerts of a period whose key begins with four given hex digits (the key is a hash of
+    the alert id), level 2 those of two digits, level 1 a period and level 0 the store.  A node's digest is that of its
+    parts' digests in order, so a row that is changed, moved to another period or doubled changes every node above it.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(alerts.columns)), {"ignoreNullFields": "false"}), 256)
+    key = F.substring(F.md5("alert_id"), 1, 4)
+    level = alerts.select(F.to_date("period_start").cast("string").alias("period"), key.alias("prefix"), F.lit("").alias("part"), row.alias("digest"), F.lit(1).cast("long").alias("alerts"))
+    out = None
+    for depth in (3, 2, 1, 0):
+        if depth < 3:
+            period, prefix = (F.col("period") if depth else F.lit("")), F.substring("prefix", 1, 2) if depth == 2 else F.lit("")
+            level = level.select(period.alias("period"), prefix.alias("prefix"), F.col("prefix" if depth else "period").alias("part"), "digest", "alerts")
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat_ws(":", x["part"], x["digest"]))
+        level = level.groupBy("period", "prefix").agg(F.sha2(F.array_join(parts, ","), 256).alias("digest"), F.sum("alerts").alias("alerts"))
+        here = level.select(F.lit(depth).alias("level"), "period", "prefix", "digest", "alerts")
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def differing_ranges(a: DataFrame, b: DataFrame, level: int = 3) -> DataFrame:
+    """(period, prefix, alerts_a, alerts_b) of the ranges of one level in which two digest trees differ."""
+    side = lambda t, n: t.where(F.col("level") == level).select("period", "prefix", F.col("digest").alias(f"d_{n}"), F.col("alerts").alias(f"alerts_{n}"))
+    both = side(a, "a").join(side(b, "b"), ["period", "prefix"], "full").where(~F.col("d_a").eqNullSafe(F.col("d_b")))
+    return both.select("period", "prefix", F.coalesce("alerts_a", F.lit(0)).alias("alerts_a"), F.coalesce("alerts_b", F.lit(0)).alias("alerts_b"))
 
 
 def store_digest(alerts: DataFrame) -> str:
-    """Sixteen hex digits of the store's content. File names and order do not matter: rows are hashed and summed."""
-    row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(alerts.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    total = alerts.agg(F.sum(row).alias("s"), F.count("*").alias("n")).select(F.sha2(F.concat_ws("|", "s", "n"), 256)).first()[0]
-    return total[:16]
+    """Sixteen hex digits of the root of the store's digest tree. File names and the order of rows do not matter."""
+    root = digest_tree(alerts).where("level = 0").first()
+    return (root.digest if root else hashlib.sha256(b"").hexdigest())[:16]
 
 
 def evidence(alerts: DataFrame) -> DataFrame:

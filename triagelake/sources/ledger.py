@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from triagelake.params import TYPOLOGIES, Window
+from triagelake.sources import period_table
 from triagelake.sources.text_rows import SPLIT, before, numbered, with_split
 
 #: The CSV's header, and our names for its columns by position.
@@ -77,8 +78,8 @@ def load_bank_jurisdictions(spark: SparkSession, path: str) -> DataFrame:
 def ingest(spark: SparkSession, path: str, out: str, window: Window | None = None) -> DataFrame:
     """Checks a transactions CSV, writes its ledger as Parquet by period and reads it back: later reads are pruned."""
     check_rows(spark, path)
-    load_transactions(spark, path, window).repartition("period").sortWithinPartitions("ts", "txn_id").write.mode("overwrite").partitionBy("period").parquet(out)
-    return spark.read.parquet(out).select(*LEDGER)
+    period_table.write(load_transactions(spark, path, window), out, "txn_id")
+    return period_table.read(spark, out).select(*LEDGER)
 
 
 def parse_patterns(spark: SparkSession, path: str) -> DataFrame:
