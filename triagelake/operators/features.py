@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import cents, day_number, draw
+from triagelake.operators import daily
 from triagelake.params import RULES, Parameters
 from triagelake.sources import period_table
 
 VERSION = "features-1"
 KEYS = ("alert_id", "subject_account", "period_start", "feature_cutoff_ts")
-_SIDES = {"out": ("from_account", "to_account"), "in": ("to_account", "from_account")}
+_SIDES = tuple(daily.SIDES)
 _PARTS = ("count", "counterparties", "amount_total", "amount_max", "amount_mean")
 FEATURES = (
     *[f"{span}_{side}_{part}" for span in ("history", "period") for side in _SIDES for part in _PARTS],
@@ -26,24 +27,14 @@ FEATURES = (
 )
 
 
-def _activity(txns: DataFrame, days: DataFrame, side: str) -> DataFrame:
-    """(account, day) of the asked days with the side's history and period figures.
+def _activity(days_table: DataFrame, days: DataFrame, side: str) -> DataFrame:
+    """(account, day) of the asked days with the side's history and period figures, from the daily activity.
 
     Distinct counterparties do not add up over days, so each counterparty counts on the day it is first seen.
     """
-    own, other = _SIDES[side]
-    money = F.col("amount").cast("decimal(18,2)")
-    daily = txns.groupBy(F.col(own).alias("account"), F.col("period").alias("day")).agg(
-        F.count("*").alias("c"), F.count_distinct(other).alias("p"), F.sum(money).alias("s"), F.max("amount").alias("x")
-    )
-    fresh = txns.groupBy(F.col(own).alias("account"), F.col(other).alias("party")).agg(F.min("period").alias("day")).groupBy("account", "day").agg(F.count("*").alias("f"))
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = (
-        daily.select("account", "day", "c", "p", "s", "x", none("long").alias("f"), F.lit(False).alias("asked"))
-        .unionByName(fresh.select("account", "day", none("long").alias("c"), none("long").alias("p"), none("decimal(28,2)").alias("s"), none("double").alias("x"), "f", F.lit(False).alias("asked")))
-        .unionByName(days.select("account", "day", none("long").alias("c"), none("long").alias("p"), none("decimal(28,2)").alias("s"), none("double").alias("x"), none("long").alias("f"), F.lit(True).alias("asked")))
-        .groupBy("account", "day").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.max("s").alias("s"), F.max("x").alias("x"), F.max("f").alias("f"), F.max("asked").alias("asked"))
-    )
+    known = days_table.where(F.col("side") == side).select("account", "day", "c", "p", "s", "x", "f", F.lit(False).alias("asked"))
+    asked = days.select("account", "day", *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("c", "p", "s", "x", "f")], F.lit(True).alias("asked"))
+    rows = known.unionByName(asked).groupBy("account", "day").agg(*[F.max(c).alias(c) for c in ("c", "p", "s", "x", "f", "asked")])
     w = Window.partitionBy("account").orderBy(day_number("day")).rangeBetween(Window.unboundedPreceding, -1)
     mean = lambda s, n: F.coalesce(F.try_divide(s.cast("double"), n), F.lit(0.0))
     h = {"count": F.coalesce(F.sum("c").over(w), F.lit(0)), "counterparties": F.coalesce(F.sum("f").over(w), F.lit(0)), "amount_total": F.sum("s").over(w), "amount_max": F.max("x").over(w)}
@@ -71,15 +62,19 @@ def _shape(txns: DataFrame, p: Parameters) -> DataFrame:
     )
 
 
-def build_features(alerts: DataFrame, txns: DataFrame, p: Parameters) -> DataFrame:
-    """The feature table: keys, 39 features and the version. Refuses frames that carry outcomes."""
+def build_features(alerts: DataFrame, txns: DataFrame, p: Parameters, days_table: DataFrame | None = None) -> DataFrame:
+    """The feature table: keys, 39 features and the version. Refuses frames that carry outcomes.
+
+    days_table is the ledger's daily activity if it is at hand; else it is made here.
+    """
     for c in (*alerts.columns, *txns.columns):
         if "aunder" in c.lower():
             raise ValueError(f"outcome column among the inputs: {c}")
     base = alerts.select(*KEYS, "fired_rules", "contributing_txn_ids", F.col("subject_account").alias("account"), F.to_date("period_start").alias("day"))
     days = base.select("account", "day").distinct()
     out = base
-    for part in (*[_activity(txns, days, side) for side in _SIDES], _shape(txns, p)):
+    table = daily.activity(txns) if days_table is None else days_table
+    for part in (*[_activity(table, days, side) for side in _SIDES], _shape(txns, p)):
         out = out.join(part, ["account", "day"], "left")
     out = out.withColumns(
         {"fired_rule_count": F.size("fired_rules"), "contributing_transactions": F.size("contributing_txn_ids")}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import cents, day_number, money_sum
+from triagelake.operators import daily as daily_activity
 from triagelake.operators import sweep
 from triagelake.params import Parameters
 
@@ -153,12 +154,18 @@ def r5_round_amounts(txns: DataFrame, p: Parameters) -> DataFrame:
     return out.where(F.col("n") >= p.r5_min_count)
 
 
-def r6_dormant_active(txns: DataFrame, p: Parameters) -> DataFrame:
+def _paid(txns: DataFrame, days_table: DataFrame | None) -> DataFrame:
+    """(subject_account, bank, period, n): payments of each account and day, from the daily activity if it is at hand."""
+    table = daily_activity.activity(txns) if days_table is None else days_table
+    return table.where("side = 'out'").select(F.col("account").alias("subject_account"), "bank", F.col("day").alias("period"), F.col("c").alias("n"))
+
+
+def r6_dormant_active(txns: DataFrame, p: Parameters, days_table: DataFrame | None = None) -> DataFrame:
     """A burst of payments after quiet days; the ledger's first days have no look-back and never fire."""
     rows = txns.withColumnRenamed("from_account", "subject_account")
-    daily = rows.groupBy("subject_account", "period").agg(F.count("*").alias("n"))
+    daily = _paid(txns, days_table).drop("bank")
     w = Window.partitionBy("subject_account").orderBy(day_number("period")).rangeBetween(-p.r6_lookback_periods, -1)
-    first = txns.agg(F.min("period").alias("first"))  # one row
+    first = daily.agg(F.min("period").alias("first"))  # one row
     out = daily.withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).crossJoin(F.broadcast(first))
     fires = out.where((F.datediff("period", "first") >= p.r6_lookback_periods) & (F.col("prior") <= p.r6_dormancy_ceiling) & (F.col("n") >= p.r6_activation_count)).drop("first")
     return _ids_of(fires, rows, ["subject_account", "period"]).select("subject_account", "period", "n", "txn_ids", "prior")
@@ -175,11 +182,9 @@ def r7_corridor(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> Dat
     return out.where(F.col("n") >= p.r7_min_count)
 
 
-def r8_peer_velocity(txns: DataFrame, p: Parameters) -> DataFrame:
+def r8_peer_velocity(txns: DataFrame, p: Parameters, days_table: DataFrame | None = None) -> DataFrame:
     """Far more payments than the account's own recent days and than its bank's accounts on that day."""
-    key = ["subject_account", "bank", "period"]
-    rows = txns.select(F.col("from_account").alias("subject_account"), F.col("from_bank").alias("bank"), "period", "txn_id")
-    daily = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    daily = _paid(txns, days_table)
     own = Window.partitionBy("subject_account", "bank").orderBy(day_number("period")).rangeBetween(-p.r8_lookback_periods, -1)
     peers = daily.groupBy("bank", "period").agg(F.avg("n").alias("peer_mean"))
     out = daily.withColumns({"own_mean": F.avg("n").over(own), "prior_periods": F.count("n").over(own)}).join(peers, ["bank", "period"])
@@ -187,21 +192,21 @@ def r8_peer_velocity(txns: DataFrame, p: Parameters) -> DataFrame:
         (F.col("prior_periods") >= p.r8_min_prior_periods) & (F.col("n") >= p.r8_min_count)
         & (F.col("n") >= p.r8_own_multiple * F.col("own_mean")) & (F.col("n") >= p.r8_peer_multiple * F.col("peer_mean"))
     )
-    fires = _ids_of(out.where(fire), rows, key)
+    fires = _ids_of(out.where(fire), txns.withColumnRenamed("from_account", "subject_account"), ["subject_account", "period"])
     return fires.select("subject_account", "period", "n", F.round("own_mean", 3).alias("own_mean"), F.round("peer_mean", 3).alias("peer_mean"), "prior_periods", "txn_ids")
 
 
-def each_rule(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> dict[str, tuple[DataFrame, dict]]:
-    """Each rule's rows, and the parameters that go into its evidence."""
+def each_rule(txns: DataFrame, jurisdictions: DataFrame, p: Parameters, days_table: DataFrame | None = None) -> dict[str, tuple[DataFrame, dict]]:
+    """Each rule's rows, and the parameters that go into its evidence. An account, whose id names its bank, has one bank."""
     return {
         "R1": (r1_structuring(txns, p), {"threshold": p.r1_threshold, "band": p.r1_band}),
         "R2": (r2_rapid_movement(txns, p), {"max_hours": p.r2_max_hours, "tolerance": p.r2_tolerance}),
         "R3": (r3_fan_in(txns, p), {"window": p.r3_window_periods, "minimum": p.r3_min_originators}),
         "R4": (r4_fan_out(txns, p), {"window": p.r4_window_periods, "minimum": p.r4_min_beneficiaries}),
         "R5": (r5_round_amounts(txns, p), {"minimum": p.r5_min_count}),
-        "R6": (r6_dormant_active(txns, p), {"lookback": p.r6_lookback_periods, "minimum": p.r6_activation_count}),
+        "R6": (r6_dormant_active(txns, p, days_table), {"lookback": p.r6_lookback_periods, "minimum": p.r6_activation_count}),
         "R7": (r7_corridor(txns, jurisdictions, p), {"minimum": p.r7_min_count}),
-        "R8": (r8_peer_velocity(txns, p), {"own_ratio": p.r8_own_multiple, "peer_ratio": p.r8_peer_multiple}),
+        "R8": (r8_peer_velocity(txns, p, days_table), {"own_ratio": p.r8_own_multiple, "peer_ratio": p.r8_peer_multiple}),
     }
 
 
@@ -211,10 +216,10 @@ EVIDENCE_NAMES = {
 }
 
 
-def run_rules(txns: DataFrame, jurisdictions: DataFrame, p: Parameters) -> DataFrame:
+def run_rules(txns: DataFrame, jurisdictions: DataFrame, p: Parameters, days_table: DataFrame | None = None) -> DataFrame:
     """(subject_account, period, rule_id, evidence, contributing_txn_ids) of all rules."""
     out = None
-    for rule, (rows, params) in each_rule(txns, jurisdictions, p).items():
+    for rule, (rows, params) in each_rule(txns, jurisdictions, p, days_table).items():
         quantities = [c for c in rows.columns if c not in ("subject_account", "period", "txn_ids")]
         names = {"n": "count"} | EVIDENCE_NAMES.get(rule, {})
         evidence = F.to_json(F.struct(*[F.col(q).alias(names.get(q, q)) for q in quantities], *[F.lit(v).alias(k) for k, v in params.items()]))

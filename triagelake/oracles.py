@@ -191,8 +191,18 @@ def _features(span: str) -> str:
     return _TO_FEATURES + f" SELECT alert_id, {cols}, {means}{extra} FROM {t}_out JOIN {t}_in USING (alert_id)"
 
 
+_DAILY = """, sides AS (
+  SELECT 'out' AS side, from_account AS account, from_bank AS bank, to_account AS party, period AS day, amount FROM ledger
+  UNION ALL SELECT 'in', to_account, to_bank, from_account, period, amount FROM ledger),
+firsts AS (SELECT side, account, day, count(*) AS f FROM (SELECT side, account, party, min(day) AS day FROM sides GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)
+SELECT side, account, min(bank) AS bank, day, count(*) AS c, count(DISTINCT party) AS p, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS s, max(amount) AS x, coalesce(max(f), 0) AS f
+FROM sides LEFT JOIN firsts USING (side, account, day) GROUP BY side, account, day"""
+
+
 def sql() -> dict[str, str]:
     out = {
+        "daily_activity": _BASE + _DAILY,
+        "daily_extended": _BASE + _DAILY,
         "ledger_load": _BASE + " SELECT txn_id, ts, from_account, to_account, from_bank, to_bank, amount, currency, format, period FROM ledger",
         "bank_jurisdictions": _BASE + " SELECT bank, jurisdiction FROM juris",
         "r1_structuring": _TO_ROWS + f" SELECT subject_account, period, n, total, {_IDS} FROM r1",

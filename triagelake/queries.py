@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagelake.operators import backtest as B
+from triagelake.operators import daily, lambdamart, resample, rules, store
 from triagelake.operators import features as FE
-from triagelake.operators import lambdamart, resample, rules, store
 from triagelake.operators import ranker as K
 from triagelake.params import FIXTURE_BOOST
 from triagelake.params import FIXTURE_PARAMS as P
 from triagelake.params import FIXTURE_POINT as O
 from triagelake.plans import artifact, readside, record
-from triagelake.session import settled
+from triagelake.session import scratch, settled
 from triagelake.sources import ledger
 from triagelake.streaming import daily_counts
 
@@ -34,11 +36,15 @@ def _once(name: str, spark: SparkSession, d: str, make) -> DataFrame:
 
 
 def _txns(s: SparkSession, d: str) -> DataFrame:
-    return ledger.events_ledger(s, d)
+    return _once("ledger", s, d, lambda: ledger.events_ledger(s, d))
+
+
+def _daily(s, d):
+    return _once("daily", s, d, lambda: daily.activity(_txns(s, d)))
 
 
 def _rows(s, d):
-    return _once("rows", s, d, lambda: rules.run_rules(_txns(s, d), ledger.events_jurisdictions(s, d), P))
+    return _once("rows", s, d, lambda: rules.run_rules(_txns(s, d), ledger.events_jurisdictions(s, d), P, _daily(s, d)))
 
 
 def _alerts(s, d):
@@ -62,7 +68,7 @@ def _worked(s, d):
 
 
 def _features(s, d):
-    return _once("features", s, d, lambda: FE.build_features(_alerts(s, d), _txns(s, d), P))
+    return _once("features", s, d, lambda: FE.build_features(_alerts(s, d), _txns(s, d), P, _daily(s, d)))
 
 
 def _universe(s, d):
@@ -77,6 +83,20 @@ def _volume(s, d):
     return B.volume_reduction(_ranked(s, d), _worked(s, d), "B3", "B2", O)
 
 
+def _plain_days(df: DataFrame) -> DataFrame:
+    return df.withColumn("s", F.col("s").cast("double"))
+
+
+def _extended(s, d):
+    """The daily activity as it grows: built of the first ten days, extended by five, and by all from the twelfth on."""
+    txns, path = _txns(s, d), f"{scratch(s)}/daily-{uuid.uuid4().hex}"
+    day = lambda n: F.lit(f"2024-01-{n:02d}").cast("date")
+    daily.build(txns.where(F.col("period") <= day(10)), path)
+    daily.extend(s, txns.where(F.col("period").between(day(11), day(15))), path)
+    daily.extend(s, txns.where(F.col("period") >= day(12)), path)
+    return _plain_days(daily.read(s, path))
+
+
 def _text(df: DataFrame, *columns: str) -> DataFrame:
     """Arrays as comma-separated text."""
     return df.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in columns})
@@ -213,7 +233,9 @@ def queries() -> dict:
     shape = ["period_hour_spread", "period_whole_dollar_share", "period_corridor_format_share", "period_cross_bank_share", "period_currencies"]
     each = {"r1_structuring": "R1", "r2_rapid_movement": "R2", "r3_fan_in": "R3", "r4_fan_out": "R4", "r5_round_amounts": "R5", "r6_dormant_active": "R6", "r7_corridor": "R7", "r8_peer_velocity": "R8"}
     return {
-        "ledger_load": _txns,
+        "ledger_load": ledger.events_ledger,
+        "daily_activity": lambda s, d: _plain_days(daily.activity(_txns(s, d))),
+        "daily_extended": _extended,
         "bank_jurisdictions": ledger.events_jurisdictions,
         **{k: _rule(v) for k, v in each.items()},
         "rule_rows": _rule_rows,
