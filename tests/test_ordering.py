@@ -63,6 +63,8 @@ def test_ranks_and_spearman_are_the_same_in_ranges(spark, dealt):
     assert sorted(map(tuple, one.select(*names).collect())) == sorted(map(tuple, two.select(*names).collect()))
     plan = two._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan
+    for t in (10**6, 10):  # one side constant: no correlation
+        assert [r.rho for r in B.spearman(prepared.withColumn("score", F.lit(1.0)), "alert_amount", "score", None, t).collect()] == [None]
     for by in ("period_start", None):
         a, b = (B.spearman(prepared, "alert_amount", "score", by, t).collect() for t in (10**6, 10))
         assert sorted((str(x[:-1]), round(x.rho, 9)) for x in a) == sorted((str(x[:-1]), round(x.rho, 9)) for x in b) and len(a) == (2 if by else 1)

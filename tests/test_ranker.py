@@ -11,12 +11,56 @@ from triagelake import queries as Q
 from triagelake.operators import backtest as B
 from triagelake.operators import ranker as K
 from triagelake.params import FIXTURE_POINT as O
-from triagelake.plans import artifact, provenance, readside, record
+from triagelake.plans import artifact, contract, provenance, readside, record
 from triagelake.sources.ledger import CSV_HEADER
 
 SMALL = "/root/testdata/sf0.001"
 
 
+def test_learned_rows_are_those_of_numpy(spark):
+    """C1's precision, freed volume and importances from the collected scores and outcomes alone."""
+    fitted = Q._models(spark, SMALL)
+    scores = {r.alert_id: r.score for r in Q._learned_scores(spark, SMALL).collect()}
+    x = {r.alert_id: [float(r[n]) for n in fitted["2024-01-30"].names] for r in Q._features(spark, SMALL).collect()}
+    days = {}
+    for r in Q._prepared(spark, SMALL).collect():
+        day = str(r.period_start.date())
+        want = fitted[day].values(np.array([x[r.alert_id]]))[0] if day in fitted else 0.0
+        assert scores[r.alert_id] == pytest.approx(want)
+        if day >= O.evaluation_start:
+            days.setdefault(day, []).append((-scores[r.alert_id], r.first_txn_ts, r.alert_id, r.is_true_positive, r.attempt_ids))
+    worked = [r for rows in days.values() for r in sorted(rows)[: O.k]]
+    got = Q.queries()["learned_precision"](spark, SMALL).collect()
+    assert [(r.rung, r.worked, r.true_positives) for r in got] == [("C1", len(worked), sum(r[3] for r in worked))]
+    best = Q.queries()["reference_rung"](spark, SMALL).first().rung
+    found = {str(r.period_start.date()): r for r in Q.queries()["learned_volume_reduction"](spark, SMALL).collect()}
+    target = {}
+    for r in Q._worked(spark, SMALL).where(F.col("rung") == best).collect():
+        t = target.setdefault(str(r.period_start.date()), [set(), 0])
+        t[0] |= set(r.attempt_ids)
+        t[1] += r.is_true_positive
+    assert set(found) == set(target) == set(days)
+    for day, (attempts, hits) in target.items():
+        seen, tp, depth = set(), 0, {"attempts": None if attempts else 0, "alerts": None if hits else 0}
+        for k, r in enumerate(sorted(days[day]), 1):
+            seen, tp = seen | set(r[4]), tp + r[3]
+            if depth["attempts"] is None and len(seen) >= len(attempts):
+                depth["attempts"] = k
+            if depth["alerts"] is None and tp >= hits:
+                depth["alerts"] = k
+        r = found[day]
+        assert (r.attempts_depth, r.alerts_depth) == (depth["attempts"], depth["alerts"])
+        assert (r.attempts_freed, r.alerts_freed) == tuple(None if d is None else O.k - d for d in depth.values())
+    last = fitted[max(fitted)]
+    gains = dict.fromkeys(last.names, 0.0)
+    for t in last.trees:
+        for f, g in zip(t.feature, t.gain):
+            if f >= 0:
+                gains[last.names[f]] += g
+    want = sorted(gains.items(), key=lambda z: (-z[1], z[0]))[:15]
+    assert [(r.feature, r.importance) for r in Q.queries()["ranker_importance"](spark, SMALL).collect()] == [(n, pytest.approx(g)) for n, g in want]
+
+
 def tables(spark, days=5, per_day=12, seed=2):
     r = np.random.default_rng(seed)
     rows, truth = [], []
@@ -137,11 +181,13 @@ def test_artifact_blocks_agree_with_the_queries(spark, built):
 def test_admission_and_projections(built, tmp_path):
     made, _ = built
     ok = {"public_distribution_status": "approved"}
-    assert artifact.admit(made, made["artifact_sha256"], ok) is made
+    wide = contract.limits(periods=31)  # the bundled tables have more periods than a published run
+    assert artifact.admit(made, made["artifact_sha256"], ok, limits=wide) is made
     artifact.write_json(str(tmp_path / "a.json"), made)
     assert artifact.load_json(str(tmp_path / "a.json")) == made and (tmp_path / "a.json").read_bytes().endswith(b"}\n")
     for bad, pin, why, match in (
         ({**made, "artifact_schema": "x"}, None, ok, "schema"), ({**made, "queue": []}, None, ok, "digest"), (made, "0" * 64, ok, "pinned"), (made, None, {}, "approved"),
+        (made, None, ok, "evidence.per_period: 27"),
     ):
         with pytest.raises(ValueError, match=match):
             artifact.admit(bad, pin, why)

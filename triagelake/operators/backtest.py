@@ -245,8 +245,14 @@ def pooled_reduction(volume: DataFrame, point: OperatingPoint) -> DataFrame:
     return volume.agg(F.try_divide(F.sum("alerts_freed"), F.lit(point.k) * F.count("alerts_depth")).alias("reduction"))
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Correlation of two columns, rounding kept within 1; null where one is constant, which F.corr would divide by."""
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def spearman(df: DataFrame, a: str, b: str, by: str | None = None, task_rows: int = ordering.TASK_ROWS) -> DataFrame:
-    """Rank correlation with average ranks for ties, within groups if asked.
+    """Rank correlation with average ranks for ties, within groups if asked; null where all ranks of a side are equal.
 
     Groups of at most task_rows rows are each ranked by one task; larger ones in ranges, with the same ranks.
     """
@@ -255,10 +261,10 @@ def spearman(df: DataFrame, a: str, b: str, by: str | None = None, task_rows: in
         rows = df.select(*part, F.col(a).alias("_a"), F.col(b).alias("_b"))
         for value, rank in (("_a", "ra"), ("_b", "rb")):
             rows = rows.join(ordering.average_ranks(rows, part, value, rank), [*part, value])
-        return rows.groupBy(*part).agg(F.corr("ra", "rb").alias("rho"))
+        return rows.groupBy(*part).agg(_correlation("ra", "rb").alias("rho"))
     avg = lambda c: F.rank().over(Window.partitionBy(*part).orderBy(c)) + (F.count("*").over(Window.partitionBy(*part, c)) - 1) / 2
     both = df.select(*part, avg(a).alias("ra"), avg(b).alias("rb"))
-    return both.groupBy(*part).agg(F.corr("ra", "rb").alias("rho"))
+    return both.groupBy(*part).agg(_correlation("ra", "rb").alias("rho"))
 
 
 def scored_queue(prepared: DataFrame, scores: DataFrame, point: OperatingPoint, name: str = "C1") -> DataFrame:

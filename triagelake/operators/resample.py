@@ -1,9 +1,17 @@
-"""Bootstrap intervals by reproducible draws: draw d of sample s picks element hash(seed, s, d) mod n."""
+"""Bootstrap intervals by reproducible draws: draw d of sample s picks element hash(seed, s, d) mod n.
+
+``poisson_mean`` is for groups of any size; the others hold a group's outcomes, which the operating point bounds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from triagelake.functions import draw
 
@@ -48,3 +56,39 @@ def bootstrap_lift(per_period: DataFrame, top: str, base: str, n: int = 1000, se
     sums = samples.select(picked.alias("p")).select(*map(total, names))
     ratio = F.try_divide(F.try_divide("top_true_positives", "top_worked"), F.try_divide("base_true_positives", "base_worked"))
     return _percentiles(sums.select(ratio.alias("m")), "m", confidence, [])
+
+
+def poisson_mean(outcomes: DataFrame, by: str, key: list[str], value: str, n: int = 1000, seed: int = 0, confidence: float = 0.95) -> DataFrame:
+    """Per group the mean of a number and its percentile interval over n resamples, for groups of any size.
+
+    Each row takes part in each resample as often as a Poisson number of mean 1 says, drawn from the hash of its key and
+    the seed, so a row's draws do not depend on the task that it is in.  Tasks hold two sums a group and resample, and
+    nothing else; of large groups this is the bootstrap with the resample's size left free.
+    """
+    kind = outcomes.schema[by].dataType.simpleString()
+    names = [by, "_sums"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for group, h, x in rows:
+                times = np.random.Generator(np.random.Philox(key=h & (2**64 - 1))).poisson(1.0, n)
+                own = sums.setdefault(group, np.zeros((2, n + 1)))
+                own[0, 1:] += times
+                own[1, 1:] += times * x
+                own[:, 0] += (1, x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), batch_type), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=names)
+
+    def total(t: pa.Table) -> pa.Table:
+        count, mass = sum(np.frombuffer(b).reshape(2, -1) for b in t.column("_sums").to_pylist())
+        means = np.sort((mass[1:] / np.maximum(count[1:], 1))[count[1:] > 0])
+        tail = (1 - confidence) / 2
+        at = [int(q * (len(means) - 1)) for q in (tail, 1 - tail)] if len(means) else []
+        low, high = (float(means[k]) for k in at) if at else (None, None)
+        made = {"mean": mass[0] / count[0], "samples": len(means), "low": low, "high": high}
+        return pa.table({by: t.column(by).slice(0, 1), **{k: [v] for k, v in made.items()}})
+
+    batch_type = to_arrow_type(outcomes.schema[by].dataType)
+    rows = outcomes.where(F.col(value).isNotNull()).select(by, F.xxhash64(F.lit(seed), *key).alias("h"), F.col(value).cast("double").alias("x"))
+    return rows.mapInArrow(partial, f"`{by}` {kind}, _sums binary").groupBy(by).applyInArrow(total, f"`{by}` {kind}, mean double, samples long, low double, high double")

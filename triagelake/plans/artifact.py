@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import pseudonym
 from triagelake.operators import backtest, store
 from triagelake.params import OperatingPoint
+from triagelake.plans import contract
 
 MAX_TXNS, MAX_ALERTS = 8, 3000
 SCHEMA = "triage-artifact-1"
@@ -125,8 +125,8 @@ def rows_of(artifact: dict) -> list[dict]:
     return [{k: v for k, v in row.items() if k != "ranks"} | {f"rank_{r}": n for r, n in row["ranks"].items()} for row in artifact["queue"]]
 
 
-def admit(artifact: dict, pinned: str | None = None, approval: dict | None = None, require_approval: bool = True) -> dict:
-    """Returns the artifact if its schema, digest, pin and approval hold; raises otherwise."""
+def admit(artifact: dict, pinned: str | None = None, approval: dict | None = None, require_approval: bool = True, limits: dict[str, contract.Bound] = contract.LIMITS) -> dict:
+    """Returns the artifact if its schema, digest, pin, approval and every bound of the contract hold; raises otherwise."""
     if artifact.get("artifact_schema") != SCHEMA:
         raise ValueError("unknown artifact schema")
     if artifact.get("artifact_sha256") != digest(artifact):
@@ -135,8 +135,8 @@ def admit(artifact: dict, pinned: str | None = None, approval: dict | None = Non
         raise ValueError("artifact is not the pinned one")
     if require_approval and (not approval or approval.get("public_distribution_status") != "approved"):
         raise ValueError("artifact is not approved for distribution")
-    if any(not re.fullmatch(r"\d{20}", row["alert_id"]) for row in artifact["queue"]):
-        raise ValueError("malformed alert id")
+    if found := contract.violations(artifact, limits):
+        raise ValueError(f"artifact is out of the contract's bounds: {'; '.join(found[:5])}")
     return artifact
 
 

@@ -271,6 +271,7 @@ def queries() -> dict:
         "volume_reduction": _volume,
         "pooled_reduction": lambda s, d: B.pooled_reduction(_volume(s, d), O),
         "bootstrap_mean": lambda s, d: resample.bootstrap_mean(_worked(s, d), "rung", ["period_start", "queue_position"], "is_true_positive", 1000, O.seed),
+        "bootstrap_poisson": lambda s, d: resample.poisson_mean(B.evaluated(_prepared(s, d), O).withColumn("day", F.date_format("period_start", "yyyy-MM-dd")), "day", ["alert_id"], "is_true_positive", 1000, O.seed),
         "bootstrap_lift": lambda s, d: resample.bootstrap_lift(B.precision_per_period(_worked(s, d)), "B3", "B0", 1000, O.seed),
         "spearman_b2_b3": lambda s, d: B.spearman(_ranked(s, d), "rank_B2", "rank_B3", "period_start").withColumn("rho", F.round("rho", 9)),
         "coverage_at_depth": lambda s, d: readside.coverage(_ranked(s, d), "rank_B3", O.k),
