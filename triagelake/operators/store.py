@@ -96,6 +96,27 @@ PUBLISHABLE = {
 }
 
 
+#: What a published quantity is, and its unit.
+QUANTITIES = {
+    "count": ("payments on the day", "payments"),
+    "total": ("sum of those payments, currencies as they come", "amount"),
+    "pairs": ("payments in and out that match", "pairs"),
+    "largest_pass_through": ("largest payment in that went out again", "amount"),
+    "counterparties": ("different counterparties in the window", "accounts"),
+    "jurisdictions": ("different jurisdictions paid", "jurisdictions"),
+    "prior_count": ("payments on the days looked back to", "payments"),
+    "own_mean": ("the account's mean on its earlier active days", "payments a day"),
+    "peer_mean": ("mean of the bank's accounts on the day", "payments a day"),
+    "prior_periods": ("earlier days on which the account was active", "days"),
+}
+
+
+def described_evidence(alerts: DataFrame) -> DataFrame:
+    """(alert_id, rule_id, name, value, label, unit): the allowed quantities with what they are."""
+    rows = [(n, *about) for n, about in QUANTITIES.items()]
+    return publishable_evidence(alerts).join(F.broadcast(alerts.sparkSession.createDataFrame(rows, "name string, label string, unit string")), "name").select("alert_id", "rule_id", "name", "value", "label", "unit")
+
+
 def publishable_evidence(alerts: DataFrame) -> DataFrame:
     """(alert_id, rule_id, name, value) of the allowed quantities."""
     allowed = F.lit(None).cast("array<string>")

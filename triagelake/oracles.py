@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from triagelake.operators.store import QUANTITIES
 from triagelake.params import ENGINE, FIXTURE_PARAMS, FIXTURE_POINT, RULE_SUPPORT, RULES, TYPOLOGIES
 
 P, O = FIXTURE_PARAMS, FIXTURE_POINT
@@ -199,6 +200,11 @@ SELECT side, account, min(bank) AS bank, day, count(*) AS c, count(DISTINCT part
 FROM sides LEFT JOIN firsts USING (side, account, day) GROUP BY side, account, day"""
 
 
+def _quantities() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(quoted, (n, *about)))})" for n, about in QUANTITIES.items())
+
+
 def sql() -> dict[str, str]:
     out = {
         "daily_activity": _BASE + _DAILY,
@@ -354,4 +360,5 @@ SELECT CAST(period AS TIMESTAMP) AS period_start, alert_id, rank_b2 AS position
     }
     for i in range(4):
         out[f"order_b{i}"] = _TO_WORKED + f" SELECT CAST(period AS TIMESTAMP) AS period_start, alert_id, rank_b{i} AS position FROM ranked"
+    out["described_evidence"] = f"SELECT e.*, label, unit FROM ({out['alert_evidence']}) e JOIN (VALUES {_quantities()}) v(name, label, unit) USING (name)"
     return out

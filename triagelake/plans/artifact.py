@@ -111,7 +111,7 @@ def build_artifact(
     out = {
         "artifact_schema": SCHEMA, "provenance": provenance | store_key | {"pipeline_run_id": hashlib.sha256(canonical({"schema": SCHEMA, "period": day, "provenance": provenance, **store_key})).hexdigest()},
         "period": {"start": day, "alerts": len(rows), "true_positives": hits, "base_rate": hits / len(rows)}, "operating_point": {"k": point.k, "evaluation_start": point.evaluation_start},
-        "orderings": list(RUNGS), "result": result_block(record, point), "evidence": evidence_block(record),
+        "orderings": list(RUNGS), "quantities": {n: {"label": a, "unit": b} for n, (a, b) in store.QUANTITIES.items()}, "result": result_block(record, point), "evidence": evidence_block(record),
         "rules": plain(rule_table(alerts, day, backtest.attempt_universe(prepared, labels, point)), "rule_id"), "typologies": plain(backtest.typology_table(prepared, labels, day, point), "typology"),
         "period_attempts": plain(backtest.period_attempt_universe(prepared, labels, day), "attempt_id"), "queue": rows,
     }

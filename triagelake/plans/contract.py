@@ -39,6 +39,7 @@ LIMITS: dict[str, Bound] = {
     "artifact_schema": _TEXT, "artifact_sha256": Bound("text", pattern=DIGEST), "provenance": _MAP, "provenance.{}": Bound("any"),
     "period": _OBJECT, "period.start": _DAY, "period.alerts": _SOME, "period.true_positives": _COUNT, "period.base_rate": _SHARE,
     "operating_point": _OBJECT, "operating_point.k": _SOME, "operating_point.evaluation_start": _DAY, "orderings": _many(6), "orderings[]": _ORDERING,
+    "quantities": _MAP, "quantities.{}": _OBJECT, "quantities.{}.label": _TEXT, "quantities.{}.unit": _TEXT,
     "result": _OBJECT, "result.evaluation_periods": _SOME, "result.k": _SOME, "result.gate": _OBJECT, "result.gate.reference_rung": _ORDERING, "result.gate.threshold": _ANY, "result.gate.lift": _ANY,
     "result.gate.interval": _many(2, 2), "result.gate.interval[]": replace(_ANY, may_be_null=True), **{f"result.gate.{n}": _FLAG for n in ("met", "point_passed", "interval_passed", "passed", "promoted")},
     "result.measured": _many(6), "result.measured[]": _OBJECT, "result.measured[].ordering": _ORDERING, "result.measured[].periods": _SOME, "result.measured[].worked": _SOME,

@@ -15,16 +15,18 @@ from triagelake.params import FIXTURE_BOOST
 from triagelake.params import FIXTURE_PARAMS as P
 from triagelake.params import FIXTURE_POINT as O
 from triagelake.plans import artifact, readside, record
-from triagelake.session import scratch, settled
+from triagelake.session import discard, scratch, settled
 from triagelake.sources import ledger
 from triagelake.streaming import daily_counts
 
 _SHARED: dict[tuple, object] = {}
 
 
-def release() -> None:
-    """Forgets the shared tables, for instance between timed queries."""
+def release(spark: SparkSession | None = None) -> None:
+    """Forgets the shared tables, for instance between timed queries; with a session, deletes every written table too."""
     _SHARED.clear()
+    if spark is not None:
+        discard(spark)
 
 
 def _once(name: str, spark: SparkSession, d: str, make) -> DataFrame:
@@ -247,6 +249,7 @@ def queries() -> dict:
         "alerts": lambda s, d: _text(_alerts(s, d).drop("rule_evidence", "feature_cutoff_ts"), "fired_rules", "contributing_txn_ids").withColumnRenamed("contributing_txn_ids", "txn_ids"),
         "period_index": lambda s, d: store.period_index(_alerts(s, d)),
         "alert_evidence": lambda s, d: store.publishable_evidence(_alerts(s, d)),
+        "described_evidence": lambda s, d: store.described_evidence(_alerts(s, d)),
         "features_history": lambda s, d: _features(s, d).select("alert_id", *h),
         "features_period": lambda s, d: _features(s, d).select("alert_id", *sides),
         "features_shape": lambda s, d: _features(s, d).select("alert_id", *shape),
