@@ -7,6 +7,7 @@ A rule takes the ledger and parameters and returns (subject_account, period, evi
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +57,56 @@ def _near_buckets(least: float, tolerance: float) -> Column:
 SHARE_ROWS = 1 << 19
 
 
-def _sweep(t: pa.Table, tolerance: float, span: int) -> pa.Table:
-    """(subject_account, period, txn_id, amount, n) of one group's matched payments: amount and n, its matches, of those in."""
+#: Rows that one sweep takes at least; whole groups are swept together.
+SWEEP_ROWS = 1 << 16
+_GROUP = ("subject_account", "period", "bucket", "i", "j")
+
+
+def _begins(t: pa.Table) -> np.ndarray:
+    """Where the groups of sorted rows begin."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for name in _GROUP:
+        column = t.column(name).combine_chunks()
+        codes = column.dictionary_encode().indices if name == "subject_account" else column.cast(pa.int32()) if name == "period" else column
+        codes = codes.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _sweep(t: pa.Table, begins: np.ndarray, tolerance: float, span: int) -> pa.RecordBatch:
+    """(subject_account, period, txn_id, amount, n) of the matched payments of some groups: amount and n, its matches, of those in.
+
+    The groups lie one after the other on one axis of time, too far apart for a match between them.
+    """
     side = t.column("is_out").to_numpy()
     ts, amount, ids = (t.column(c).to_numpy() for c in ("at", "amount", "txn_id"))
+    size = np.diff(np.append(begins, len(ts)))
+    own = ts - np.repeat(np.minimum.reduceat(ts, begins), size)
+    ts = own + np.repeat(np.arange(len(begins)), size) * (int(own.max()) + span + 1)
     came, went = np.flatnonzero(~side), np.flatnonzero(side)
     n, hit = sweep.matches(ts[came], amount[came], ts[went], amount[went], tolerance, span)
     came, n, went = came[n > 0], n[n > 0], went[hit]
     keep = pa.array(np.concatenate([came, went]))
-    none = pa.nulls(len(went))
-    return pa.table({
-        "subject_account": t.column("subject_account").take(keep), "period": t.column("period").take(keep), "txn_id": pa.array(ids[keep]),
-        "amount": pa.concat_arrays([pa.array(amount[came]), none.cast(pa.float64())]), "n": pa.concat_arrays([pa.array(n), none.cast(pa.int64())]),
-    })
+    take = lambda c: t.column(c).combine_chunks().take(keep)
+    amounts = pa.array(np.concatenate([amount[came], np.full(len(went), -1.0)]))
+    return pa.RecordBatch.from_arrays([take("subject_account"), take("period"), pa.array(ids[keep]), amounts, pa.array(np.concatenate([n, went * 0]))], names=["subject_account", "period", "txn_id", "amount", "n"])
+
+
+def _swept(batches: Iterator[pa.RecordBatch], tolerance: float, span: int) -> Iterator[pa.RecordBatch]:
+    """Sweeps sorted rows, some whole groups at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= SWEEP_ROWS:
+            t = pa.Table.from_batches(held)
+            begins = _begins(t)
+            if len(begins) > 1:  # the last group may go on
+                yield _sweep(t.slice(0, begins[-1]), begins[:-1], tolerance, span)
+            held = t.slice(begins[-1]).combine_chunks().to_batches()
+    if any(b.num_rows for b in held):
+        t = pa.Table.from_batches(held)
+        yield _sweep(t, _begins(t), tolerance, span)
 
 
 def r2_rapid_movement(txns: DataFrame, p: Parameters, share_rows: int = SHARE_ROWS) -> DataFrame:
@@ -95,7 +133,8 @@ def r2_rapid_movement(txns: DataFrame, p: Parameters, share_rows: int = SHARE_RO
     rows = rows.select(*group, F.when(F.col("is_out"), F.col("other")).otherwise(F.col("own")).alias("i"), F.when(F.col("is_out"), F.col("own")).otherwise(F.col("other")).alias("j"), "at", "amount", "txn_id", "is_out")
     tolerance, span = p.r2_tolerance, (math.floor(p.r2_max_hours) + 1) * 3_600_000_000
     shape = "subject_account string, period date, txn_id long, amount double, n long"
-    found = rows.groupBy(*group, "i", "j").applyInArrow(lambda t: _sweep(t, tolerance, span), shape)
+    dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    found = dealt.mapInArrow(lambda batches: _swept(batches, tolerance, span), shape)
     per_txn = found.groupBy("subject_account", "period", "txn_id").agg(F.max("amount").alias("amount"), F.sum("n").alias("n"))
     return per_txn.groupBy("subject_account", "period").agg(F.sum("n").alias("n"), F.max("amount").alias("max_amount"), F.array_sort(F.collect_list("txn_id")).alias("txn_ids"))
 

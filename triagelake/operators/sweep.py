@@ -48,7 +48,8 @@ def amount_ranges(into: np.ndarray, out: np.ndarray, tolerance: float) -> tuple[
 def matches(in_ts: np.ndarray, into: np.ndarray, out_ts: np.ndarray, out: np.ndarray, tolerance: float, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Each payment in's number of matches, and whether each payment out has one.
 
-    A match comes from 0 to less than span time units after the payment in.
+    A match comes from 0 to less than span time units after the payment in.  Accounts may be swept together if their
+    times lie a span apart.
     """
     by_time, by_amount = np.argsort(out_ts, kind="stable"), np.argsort(out, kind="stable")
     rank = np.empty(len(out), np.int64)
