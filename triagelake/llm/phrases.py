@@ -31,8 +31,8 @@ from triagelake.session import settled
 LEAST, LONGEST, COVERED, TOP, UNKNOWN = 30, 4, 80, 2000, "und"
 #: Bits of the table for each frequent gram, and the logarithms of its least and largest size.
 BITS_A_GRAM, MIN_BITS, MAX_BITS = 16, 20, 30
-#: Bytes of text that are counted at once, and the shares in which a language is ranked.
-COUNT_BYTES, SALTS = 2 << 20, 64
+#: Bytes of text that are counted at once, rows that are told apart by language at once, and the shares in which a language is ranked.
+COUNT_BYTES, ROWS, SALTS = 1 << 20, 2048, 64
 _BITMAP = 32768  # bits of a value of bitmap_construct_agg
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -77,11 +77,13 @@ def _of_lang(hashes: np.ndarray, lang: str) -> np.ndarray:
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(language, bytes, offsets) of blocks of a batch (text, lang)."""
-    langs = batch.column(1).dictionary_encode()
-    for k, lang in enumerate(langs.dictionary.to_pylist()):
-        text = batch.column(0).filter(pa.array(langs.indices.to_numpy(zero_copy_only=False) == k)) if len(langs.dictionary) > 1 else batch.column(0)
-        for _, _, data, offs in blocks(text, COUNT_BYTES):
-            yield lang, data, offs
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        langs = part.column(1).dictionary_encode()
+        for k, lang in enumerate(langs.dictionary.to_pylist()):
+            text = part.column(0).filter(pa.array(langs.indices.to_numpy(zero_copy_only=False) == k)) if len(langs.dictionary) > 1 else part.column(0)
+            for _, _, data, offs in blocks(text, COUNT_BYTES):
+                yield lang, data, offs
 
 
 class BitTable:
