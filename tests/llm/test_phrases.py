@@ -74,6 +74,17 @@ def test_scores_past_64_bits_and_ties(spark):
     assert [got[p].rank for p in ("a b", "c d", "c d e")] == [1, 2, 3]
 
 
+def test_a_long_text_is_cut_behind_piece_ends(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "COUNT_BYTES", 50)
+    text = "one two three. " * 40 + "no end here " * 30 + "x, y" + "," * 120
+    batch = pa.RecordBatch.from_arrays([pa.array([text, "short", None]), pa.array(["en", "en", "en"])], names=["text", "lang"])
+    parts = [data.tobytes().decode() for _, data, offs in phrases._by_lang(batch)]
+    assert "".join(parts) == text + "short" and len(parts) > 8
+    assert all(p[-1] in ".," for p in parts[: len(parts) - 1] if p != parts[-2]) and max(map(len, parts)) < 420
+
+
 def test_no_rows_from_nothing(spark):
     assert phrases.mine_phrases(spark.createDataFrame([], SHAPE)).collect() == []
     assert phrases.mine_phrases(spark.createDataFrame([(1, None, None, "x"), (2, "few words", "en", "x")], SHAPE)).collect() == []

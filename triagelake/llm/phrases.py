@@ -83,7 +83,15 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarra
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             text = part.column(0).filter(pa.array(langs.indices.to_numpy(zero_copy_only=False) == k)) if len(langs.dictionary) > 1 else part.column(0)
             for _, _, data, offs in blocks(text, COUNT_BYTES):
-                yield lang, data, offs
+                if len(data) <= 2 * COUNT_BYTES:
+                    yield lang, data, offs
+                    continue
+                # one long text: cut behind piece ends, over which no phrase goes
+                ends, start = np.flatnonzero(_KIND[data] == 2) + 1, 0
+                while start < len(data):
+                    stop = np.append(ends, len(data))[np.searchsorted(ends, start + COUNT_BYTES)]
+                    yield lang, data[start:stop], np.array([0, stop - start])
+                    start = stop
 
 
 class BitTable:
