@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, weighted-shingle check.
 
-Words are lower-cased (A-Z) with ASCII punctuation removed; shingles are five words.  For every benchmark item
-the windows of its number of words are fingerprinted over their shingles.  Eight tables of one fingerprint byte
-each find every item within RADIUS bits (some byte then differs in at most RADIUS // 8 bits); the exact weighted
-Jaccard similarity of the two shingle multisets decides.  Only windows that share at least one shingle with the
-item are fingerprinted, which loses nothing: without one the similarity is zero.
+Words are lower-cased (A-Z) with ASCII punctuation removed; shingles are five words.  A window of an item's number of
+words can reach SIMILARITY only if it holds one of the item's few rarest shingles: so many of them that what is left
+is too little.  An index of these chooses the windows and the item that each is for, so a phrase that many items share
+costs nothing.  The chosen windows' SimHash fingerprints are taken from running sums of bits; by pigeonhole a pair
+within RADIUS bits has one of the eight bytes within RADIUS // 8 bits, and those bytes are compared first.  The exact
+weighted Jaccard similarity of the two shingle multisets decides.
 
 The items' index is broadcast in slices of at most SLICE_BYTES of item text; a larger benchmark takes one pass
 over the documents for each slice.
@@ -29,6 +30,8 @@ from triagelake.llm.common import TO_LOWER, blocks, leading, ragged, range_hashe
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 24
 SLICE_BYTES = 16 << 20
+#: Hits, and pairs of a window and an item, that are held at once.
+PAIRS = 1 << 19
 _GONE = np.zeros(256, bool)
 _GONE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -61,6 +64,23 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(_signs(h).sum(axis=0) > 0, bitorder="little")
 
 
+def _window_prints(h: np.ndarray, places: np.ndarray, m: int) -> np.ndarray:
+    """SimHash bytes of the m shingles from each of the ascending places, by running sums over each stretch of them."""
+    out = np.empty((len(places), 8), np.uint8)
+    a = 0
+    while a < len(places):
+        b = int(np.searchsorted(places, places[a] + 4096))
+        gap = np.flatnonzero(np.diff(places[a:b]) > m)
+        b = a + int(gap[0]) + 1 if len(gap) else b
+        x, y = int(places[a]), int(places[b - 1])
+        sums = np.zeros((y - x + m + 1, 64), np.int32)
+        np.cumsum(_signs(h[x : y + m]), axis=0, out=sums[1:])
+        at = places[a:b] - x
+        out[a:b] = np.packbits(sums[at + m] > sums[at], axis=1, bitorder="little")
+        a = b
+    return out
+
+
 class Items:
     """The index of a slice of benchmark items."""
 
@@ -68,7 +88,6 @@ class Items:
         self.ids = ids
         col = pa.array([t or "" for t in texts], pa.large_string())
         self.n_words, self.bags, keys = [], [], []
-        self.by_size: dict[int, list[int]] = {}
         for a, b, data, offs in blocks(col):
             words, row = _words(data, offs)
             edge = np.searchsorted(row, np.arange(b - a + 1))
@@ -79,22 +98,30 @@ class Items:
                 self.n_words.append(n)
                 self.bags.append(np.unique(h, return_counts=True))
                 keys.append(h)
-                if n:
-                    self.by_size.setdefault(n, []).append(a + k)
         self.prints = np.stack([fingerprint(h) if len(h) else np.zeros(8, np.uint8) for h in keys]) if keys else np.zeros((0, 8), np.uint8)
-        near = _BITS[np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)] <= RADIUS // 8
-        self.tables = {n: near[:, self.prints[of]] for n, of in self.by_size.items()}  # byte value x item x byte
-        # shingle to the item sizes that hold it, for each shingle width
+        self.sizes = np.array(self.n_words, np.int64)
+        held = [bag[0] for bag in self.bags]
+        known, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        # shingle width to (rare shingles, ascending; the item of each; whether whole windows need it; filter; its shift)
         self.widths: dict[int, tuple] = {}
-        for width in sorted({min(WIDTH, n) for n in self.by_size}):
-            pairs = [(h, n) for n, of in self.by_size.items() if min(WIDTH, n) == width for k in of for h in self.bags[k][0].tolist()]
-            pairs = sorted(set(pairs))
-            h = np.array([x for x, _ in pairs], np.uint64)
-            size = np.array([n for _, n in pairs], np.int64)
+        rare: dict[int, list] = {}
+        for k, (h, weight) in enumerate(self.bags):
+            if n := self.n_words[k]:
+                order = np.lexsort((h, count[np.searchsorted(known, h)]))
+                total = int(weight.sum())
+                before = np.cumsum(weight[order]) - weight[order]
+                # too few shared shingles are left once these are missing: of a text shorter than the item, of a window
+                use = order[before <= total - np.ceil(SIMILARITY * total - 1e-9)]
+                tight = before[: len(use)] <= total - np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * total - 1e-9)
+                rare.setdefault(min(WIDTH, n), []).append((h[use], np.full(len(use), k), tight))
+        for width, parts in sorted(rare.items()):
+            h, item, tight = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            h, item, tight = h[order], item[order], tight[order]
             bits = max(16, int(len(h) * 64).bit_length())
             maybe = np.zeros(1 << bits, bool)
             maybe[h >> np.uint64(64 - bits)] = True
-            self.widths[width] = (h, size, maybe, np.uint64(64 - bits))
+            self.widths[width] = (h, item, tight, maybe, np.uint64(64 - bits))
 
     def similarity(self, k: int, h: np.ndarray) -> float:
         mine, weight = self.bags[k]
@@ -109,62 +136,67 @@ class Items:
         words, row = _words(data, offs)
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
         begin = np.searchsorted(row, np.arange(len(offs)))
-        for width, (keys, sizes, maybe, shift) in self.widths.items():
+        for width, (keys, items, tight, maybe, shift) in self.widths.items():
             h, at = _shingles(words, row, width)
+            edge = np.searchsorted(at, begin)  # where each row's shingles begin
             some = np.flatnonzero(maybe[h >> shift])
             lo, hi = np.searchsorted(keys, h[some], "left"), np.searchsorted(keys, h[some], "right")
             some, lo, n = some[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            size = sizes[ragged(lo, n)]
-            where = np.repeat(some, n)
-            for s in np.unique(size).tolist():
-                hits = np.unique(where[size == s])
-                short = np.diff(begin)[row[at[hits]]] < s
-                self._whole(s, width, np.unique(row[at[hits[short]]]), h, at, begin, found)
-                if not short.all():
-                    self._windows(s, width, hits[~short], h, at, row, begin, found)
+            upto, x = np.cumsum(n), 0
+            while x < len(n):
+                y = max(x + 1, int(np.searchsorted(upto, upto[x] - n[x] + PAIRS, "right")))
+                entry = ragged(lo[x:y], n[x:y])
+                pos, item, whole = np.repeat(some[x:y], n[x:y]), items[entry], tight[entry]
+                x = y
+                doc = row[at[pos]]
+                short = np.diff(begin)[doc] < self.sizes[item]
+                self._whole(doc[short], item[short], h, edge, begin, found)
+                take = ~short & whole
+                for s in np.unique(self.sizes[item[take]]).tolist():
+                    of = take & (self.sizes[item] == s)
+                    self._windows(s, s - width + 1, pos[of], doc[of], item[of], h, at, edge, begin, found)
         return [(r, k, sim, start, n) for (r, k), (sim, start, n) in found.items()]
 
-    def _whole(self, size, width, docs, h, at, begin, found) -> None:
-        """Compares documents of fewer than size words as they are with the items of size words."""
-        of = self.by_size[size]
-        for d in docs.tolist():
-            own = h[np.searchsorted(at, begin[d]) : np.searchsorted(at, begin[d + 1])]
-            if len(own) < SIMILARITY * (size - width + 1):  # too few to reach the threshold
+    def _near(self, bits: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether each fingerprint lies within RADIUS of its item's; a byte within RADIUS // 8 is asked for first."""
+        apart = _BITS[bits ^ self.prints[items]]
+        ok = apart.min(axis=1) <= RADIUS // 8
+        ok[ok] = apart[ok].sum(axis=1, dtype=np.int64) <= RADIUS
+        return ok
+
+    def _whole(self, docs, items, h, edge, begin, found) -> None:
+        """Compares documents of fewer words than an item as they are with it."""
+        pairs = np.unique(np.stack([docs, items]), axis=1)
+        for d in np.unique(pairs[0]).tolist():
+            own, of = h[edge[d] : edge[d + 1]], pairs[1, pairs[0] == d]
+            for k in of[self._near(fingerprint(own)[None], of)].tolist():
+                if (sim := self.similarity(k, own)) >= SIMILARITY:
+                    found[d, k] = (sim, 0, int(begin[d + 1] - begin[d]))
+
+    def _windows(self, size, m, pos, docs, items, h, at, edge, begin, found) -> None:
+        """Fingerprints the windows of size words (m shingles) around each hit and keeps the best for its item."""
+        order = np.lexsort((pos, items))
+        pos, docs, items = pos[order], docs[order], items[order]
+        first, last = np.maximum(pos - m + 1, edge[docs]), np.minimum(pos, edge[docs + 1] - m)
+        again = np.concatenate([[False], items[1:] == items[:-1]])
+        first[again] = np.maximum(first[again], last[:-1][again[1:]] + 1)  # each window once for an item
+        n = np.maximum(last - first + 1, 0)
+        upto = np.cumsum(n)
+        x = 0
+        while x < len(n):
+            y = max(x + 1, int(np.searchsorted(upto, upto[x] - n[x] + PAIRS, "right")))
+            win, item, doc = ragged(first[x:y], n[x:y]), np.repeat(items[x:y], n[x:y]), np.repeat(docs[x:y], n[x:y])
+            x = y
+            if not len(win):
                 continue
-            bits = fingerprint(own)
-            near = self.tables[size][bits, :, np.arange(8)].any(axis=0)
-            for i in np.flatnonzero(near).tolist():
-                if _BITS[bits ^ self.prints[of[i]]].sum(dtype=np.int64) <= RADIUS and (sim := self.similarity(of[i], own)) >= SIMILARITY:
-                    found[d, of[i]] = (sim, 0, int(begin[d + 1] - begin[d]))
-
-    def _windows(self, size, width, hits, h, at, row, begin, found) -> None:
-        """Fingerprints the windows of size words around hit shingles and keeps the best matches."""
-        m = size - width + 1  # shingles a window
-        docs = row[at[hits]]
-        first, last = np.maximum(hits - m + 1, 0), hits
-        runs = np.flatnonzero(np.concatenate([[True], (first[1:] > last[:-1] + 1) | (docs[1:] != docs[:-1])]))
-        of = self.by_size[size]
-        for a, b in zip(runs.tolist(), np.append(runs[1:], len(hits)).tolist()):
-            d = int(docs[a])
-            lo = max(int(first[a]), int(np.searchsorted(at, begin[d])))
-            hi = min(int(last[b - 1]), int(np.searchsorted(at, begin[d + 1] - size, "right")) - 1)
-            step = min(4096, max(16, (1 << 24) // len(of)))  # bounds the table of windows by items
-            for x in range(lo, hi + 1, step):  # windows x to y
-                y = min(hi, x + step - 1)
-                sums = np.zeros((y - x + m + 1, 64), np.int32)
-                np.cumsum(_signs(h[x : y + m]), axis=0, out=sums[1:])
-                prints = np.packbits(sums[m:] > sums[:-m], axis=1, bitorder="little")
-                near = np.zeros((len(prints), len(of)), bool)
-                for byte in range(8):
-                    near |= self.tables[size][:, :, byte][prints[:, byte]]
-                win, item = np.nonzero(near)
-                close = _BITS[prints[win] ^ self.prints[[of[i] for i in item]]].sum(axis=1, dtype=np.int64) <= RADIUS
-                for w, i in zip(win[close].tolist(), item[close].tolist()):
-                    sim = self.similarity(of[i], h[x + w : x + w + m])
-                    start = int(at[x + w] - begin[d])
-                    old = found.get((d, of[i]))
-                    if sim >= SIMILARITY and (old is None or (sim, -start) > (old[0], -old[1])):
-                        found[d, of[i]] = (sim, start, size)
+            places, back = np.unique(win, return_inverse=True)
+            close = np.flatnonzero(self._near(_window_prints(h, places, m)[back], item))
+            for w, k, d in zip(win[close].tolist(), item[close].tolist(), doc[close].tolist()):
+                sim = self.similarity(k, h[w : w + m])
+                start = int(at[w] - begin[d])
+                old = found.get((d, k))
+                if sim >= SIMILARITY and (old is None or (sim, -start) > (old[0], -old[1])):
+                    found[d, k] = (sim, start, size)
 
 
 def _slices(benchmark: DataFrame):
