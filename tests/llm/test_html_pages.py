@@ -76,3 +76,70 @@ def test_precision_and_recall_on_pages_of_another_generator():
         hit += len(got & set(good))
         wrong += len(got - set(good))
     assert hit / want >= 0.95 and hit / (hit + wrong) >= 0.95, (hit, want, wrong)
+
+
+FLOOD = [
+    "The river rose over its banks in the night and the village woke to water in the streets, as it had forty years before.",
+    "Nobody was hurt, the mayor said on Tuesday, but the school will stay closed until the end of the month.",
+    "Volunteers carried books and chairs to the upper floor while others filled bags with sand.",
+]
+UNTAGGED = {
+    "columns": (
+        f'<div class="wrapper"><div class="row"><div class="col-8"><h1>Title here</h1><p>{FLOOD[0]}</p><p>{FLOOD[1]}</p></div>'
+        '<div class="col-4"><h3>Related</h3><ul><li><a href="/a">First link</a></li><li><a href="/b">Second link</a></li></ul></div></div></div>',
+        ["Title here", FLOOD[0], FLOOD[1]],
+    ),
+    "section": (f'<section class="news"><h2>Head</h2>{"".join(f"<p>{t}</p>" for t in FLOOD + FLOOD)}</section>', ["Head", *FLOOD, *FLOOD]),
+    "breaks": (f"<html><body><div>{FLOOD[0]}<br>{FLOOD[1]}<br><br>{FLOOD[2]}</div></body></html>", FLOOD),
+    "body": (f"<html><body>{FLOOD[0]}<br>{FLOOD[1]}<br>{FLOOD[2]}</body></html>", FLOOD),
+}
+
+
+@pytest.mark.parametrize("name", UNTAGGED)
+def test_articles_without_an_element_of_their_own_come_out_whole(name):
+    page, want = UNTAGGED[name]
+    assert H.main_text(H.trained(), [page]) == ["\n".join(want)]
+
+
+def untagged_page(r):
+    """A page without article or main: columns, a section, lines between breaks, a table or the bare body, in real words."""
+    words = "harbour winter council bridge doctor orchard theatre engine summer library painter valley machine border island kitchen railway student captain evening".split()
+    small = "the of and in to a with for on by from at".split()
+    line = lambda a, b: " ".join(r.choice(words if r.random() < 0.6 else small) for _ in range(r.randint(a, b))).capitalize()
+    good, bad = [], []
+
+    def yes(text):
+        good.append(text)
+        return text
+
+    def no(text):
+        bad.append(text)
+        return text
+
+    text = [yes(line(10, 45) + ".") for _ in range(r.randint(2, 8))]
+    title = f"<h1>{yes(line(3, 8))}</h1>"
+    paragraphs = title + "".join(f"<p>{t}</p>" for t in text)
+    main = [
+        f'<div id="site"><div class="flex"><div class="eight columns">{paragraphs}</div>{{}}</div></div>',
+        f'<section class="journal">{paragraphs}</section>{{}}',
+        f'<div class="t1">{title}{"<br><br>".join(text)}</div>{{}}',
+        f"{paragraphs}{{}}",
+        f'<table width="100%"><tr><td>{paragraphs}</td><td>{{}}</td></tr></table>',
+    ][r.randrange(5)]
+    links = "".join(f'<li><a href="/{k}">{no(line(2, 5) + f" {k}")}</a></li>' for k in range(r.randint(2, 6)))
+    bar = f'<div class="four columns"><h4>{no(r.choice(("Read next", "Elsewhere", "Top picks")))}</h4><ul>{links}</ul></div>'
+    top = f'<div class="top"><ul>{"".join(f"<li><a href=/{k}>{no(line(1, 1) + str(k))}</a></li>" for k in range(5))}</ul></div>'
+    foot = f'<div id="footer">{no("Copyright " + line(2, 5))}</div>'
+    return f"<html><head><title>{no(line(3, 6) + ' page')}</title></head><body>{top}{main.format(r.choice((bar, '')))}{foot}</body></html>", good, bad
+
+
+def test_precision_and_recall_on_pages_without_elements_that_tell():
+    r = random.Random(78)
+    pages = [untagged_page(r) for _ in range(150)]
+    hit = wrong = want = 0
+    for text, (_, good, bad) in zip(H.main_text(H.trained(), [p for p, _, _ in pages]), pages):
+        got = set(text.split("\n"))
+        want += len(set(good))
+        hit += len(got & set(good))
+        wrong += len(got - set(good))
+    assert hit / want >= 0.95 and hit / (hit + wrong) >= 0.95, (hit, want, wrong)

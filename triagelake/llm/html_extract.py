@@ -5,7 +5,9 @@ reads, for each block, a tag-path vector, a hashed-word vector and a few shape f
 as main text or not with the whole page as context.  Blocks labelled main text are joined in page order.
 
 The labeller is trained here, on generated pages whose blocks are labelled by construction (article text against
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments), never on the pages it reads.
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments), never on the pages it reads.  Half of
+these pages have an article element or a name that tells; the others have divisions with names that tell nothing,
+sections, lines between breaks or a bare body, so that the labeller must go by the text and what stands around it.
 
 A page costs time and memory in proportion to its length, however deep its elements lie and however many blocks it has.
 
@@ -342,6 +344,50 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
         t = r.choice(("div", "section"))
         return f"<{t}{attr(('comments', 'comment-list', 'replies', 'comment'))}>" + "".join(r.choice(("<p>{}</p>", '<div class="comment">{}</div>')).format(block(line(3, 30), 0)) for _ in range(r.randint(1, 4))) + f"</{t}>"
 
+    def named() -> str:
+        """Attributes that say nothing of what is inside: columns, or a name of the page's own."""
+        return r.choice(("", attr(("row", "col", "col-8", "col-md-9", "grid", "cell", "wrapper", "container", "inner", "box", "layout", "page")), attr((word() + word(), word() + "-" + word()))))
+
+    def column() -> str:
+        """A side column known by what it holds: a heading, then links or a few words each."""
+        head = r.choice(("Related", "Popular", "Most read", "Latest", "More stories", "Archives", "Tags", "Share", "Follow us", "Topics", "See also", "Recent posts"))
+        t = r.choice(("h2", "h3", "h3", "h4", "strong", "div"))
+        out = [f"<{t}>{block(head, 0)}</{t}>"] if r.random() < 0.8 else []
+        form = r.choice(('<li><a href="/{k}">{}</a></li>', '<p><a href="/{k}">{}</a></p>', '<a href="/{k}">{}</a><br>', "<li>{}</li>", '<div><a href="/{k}">{}</a></div>'))
+        items = "".join(form.format(block(words(1, 6), 0), k=k) for k in range(r.randint(1, 7)))
+        return "".join(out) + (f"<ul>{items}</ul>" if form.startswith("<li") else items)
+
+    def prose() -> str:
+        """An article without the elements made for one: under a section, plain divisions, line breaks or nothing at all."""
+        body, n = [], r.choice((1, 2, 3, 4, 6, 10))
+        if r.random() < 0.75:
+            t = r.choice(("h1", "h1", "h2", "h3"))
+            body.append(f"<{t}>{block(line(1, 10), 1)}</{t}>")
+        form = r.choice(("<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>", "{}<br>", "{}<br><br>", "{}<br/>\n"))
+        for _ in range(n):
+            if r.random() < 0.1:
+                body.append(f"<h3>{block(line(1, 6), 1)}</h3>")
+            body.append(form.format(block(words(6, 60).capitalize() + r.choice((".", ".", ".", "")), 1)))
+        inside = "".join(body)
+        for _ in range(r.choice((0, 0, 1, 1, 2, 3))):
+            t = r.choice(("div", "div", "section"))
+            inside = f"<{t}{named()}>{inside}</{t}>"
+        return r.choice((inside, inside, f'<section{attr(("news", "text", "main", "page", "story", "blog", "entry", word()))}>{inside}</section>'))
+
+    def plain() -> str:
+        """A page laid out by divisions with names that tell nothing."""
+        cell = lambda inner: f"<div{named()}>{inner}</div>"
+        parts = []
+        if r.random() < 0.15:
+            parts.append(cell(column()))
+        parts.append(cell(prose()) if r.random() < 0.6 else prose())
+        if r.random() < 0.5:
+            parts.append(cell(column()))
+        inside = "".join(parts)
+        for _ in range(r.choice((0, 0, 1, 2))):
+            inside = cell(inside)
+        return inside
+
     def article() -> str:
         tag = r.choice(("article", "article", "article", "article", "main", "div"))
         a = attr(("content", "article", "post", "entry-content", "article-body", "story")) if tag == "div" or r.random() < 0.2 else ""
@@ -367,6 +413,10 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
                 body.append(r.choice((advert, side, form))())
         return f"<{tag}{a}>{''.join(body)}</{tag}>"
 
+    bare = r.random() < 0.5  # of the elements made for an article
+    if bare and r.random() < 0.4:  # little else than the text
+        start, end = r.choice((("", ""), ("<html><body>", "</body></html>"), ("<body>", "")))
+        return start + plain() + end, y
     out.append("<!DOCTYPE html><html><head>")
     if r.random() < 0.9:
         out.append(f"<title>{block(words(1, 12), 0)}</title>")
@@ -376,7 +426,7 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
             out.append(part())
     if r.random() < 0.15:
         out.append(side())
-    out.append(article())
+    out.append(plain() if bare else article())
     for part in (comments, side, advert, form, menu, notice):
         if r.random() < 0.2:
             out.append(part())
@@ -387,7 +437,7 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
 
 
 @lru_cache(1)
-def trained(pages: int = 500) -> Labeller:
+def trained(pages: int = 900) -> Labeller:
     r = random.Random(11)
     made = []
     while len(made) < pages:
