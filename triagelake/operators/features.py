@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import cents, day_number, draw
@@ -53,10 +53,17 @@ def _activity(days_table: DataFrame, days: DataFrame, side: str) -> DataFrame:
     return rows
 
 
+def _spread(n: Column) -> Column:
+    """Sample standard deviation of whole numbers, 0 for fewer than two, from exact sums: it does not depend on how rows are dealt."""
+    size = F.count(n)
+    squares = size * F.sum(n * n) - F.sum(n) * F.sum(n)
+    return F.when(size > 1, F.sqrt(squares.cast("double") / (size * (size - 1)))).otherwise(0.0)
+
+
 def _shape(txns: DataFrame, p: Parameters) -> DataFrame:
     share = lambda cond: F.avg(cond.cast("double"))
     return txns.groupBy(F.col("from_account").alias("account"), F.col("period").alias("day")).agg(
-        F.coalesce(F.stddev_samp(F.hour("ts")), F.lit(0.0)).alias("period_hour_spread"), share(cents("amount") % 100 == 0).alias("period_whole_dollar_share"),
+        _spread(F.hour("ts").cast("long")).alias("period_hour_spread"), share(cents("amount") % 100 == 0).alias("period_whole_dollar_share"),
         share(F.col("format").isin(*p.r7_formats)).alias("period_corridor_format_share"), share(F.col("from_bank") != F.col("to_bank")).alias("period_cross_bank_share"),
         F.count_distinct("currency").alias("period_currencies"),
     )
