@@ -11,18 +11,21 @@ before, and writes only those days' folders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDES = {"out": ("from", "to"), "in": ("to", "from")}
 
 
 def by_party(txns: DataFrame) -> DataFrame:
-    """(side, account, bank, party, day, c, s, x): the payments of an account with each counterparty on each day."""
+    """(side, account, bank, party, day, c, s, x): the payments of an account with each counterparty on each day.
+
+    Rows are dealt by (side, account, party), so what follows in an order of a party's days needs no further shuffle.
+    """
     side = lambda n, own, other: F.struct(F.lit(n).alias("side"), F.col(f"{own}_account").alias("account"), F.col(f"{own}_bank").alias("bank"), F.col(f"{other}_account").alias("party"))
     both = F.array(*[side(n, own, other) for n, (own, other) in SIDES.items()])
     rows = txns.select(F.explode(both).alias("k"), F.col("period").alias("day"), "amount").select("k.*", "day", "amount")
-    return rows.groupBy("side", "account", "party", "day").agg(
+    return rows.repartition("side", "account", "party").groupBy("side", "account", "party", "day").agg(
         F.min("bank").alias("bank"), F.count("*").alias("c"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(28,2)").alias("s"), F.max("amount").alias("x")
     )
 
@@ -37,8 +40,10 @@ def _activity(party: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def activity(txns: DataFrame) -> DataFrame:
-    party = by_party(txns)
-    return _activity(party, party.groupBy("side", "account", "party").agg(F.min("day").alias("day")))
+    party = by_party(txns).withColumn("first", F.min("day").over(Window.partitionBy("side", "account", "party")))
+    return party.groupBy("side", "account", "day").agg(
+        F.min("bank").alias("bank"), F.sum("c").alias("c"), F.count("*").alias("p"), F.sum("s").cast("decimal(28,2)").alias("s"), F.max("x").alias("x"), F.sum((F.col("day") == F.col("first")).cast("long")).alias("f")
+    ).select("side", "account", "bank", "day", "c", "p", "s", "x", "f")
 
 
 def _write(df: DataFrame, path: str, mode: str = "overwrite") -> None:

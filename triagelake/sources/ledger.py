@@ -125,8 +125,8 @@ def load_labels(spark: SparkSession, transactions: str, patterns: str) -> DataFr
 
 def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events read as a ledger: users pay the counterparties in props."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("long")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("_k", F.get_json_object("props", "$.k").cast("long"))  # read out once a row
+    k = F.col("_k")
     bank = lambda c: F.pmod(c, F.lit(25))
     account = lambda c: F.concat_ws("|", bank(c).cast("string"), c.cast("string"))
     user = F.col("user_id")
