@@ -196,6 +196,12 @@ def test_admission_and_projections(built, tmp_path):
     assert artifact.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}\n'.encode()
 
 
+def test_the_queue_query_has_all_rows_whatever_an_artifact_may_hold(spark, built, monkeypatch):
+    want = sorted((r["alert_id"], r["subject"], r["transaction_count"], len(r["transactions"]), len(r["contributions"]), r["rank_B3"], r["rank_C1"]) for r in artifact.rows_of(built[0]))
+    monkeypatch.setattr(artifact, "MAX_ALERTS", 0)
+    assert want and sorted(tuple(r) for r in Q.queries()["artifact_queue"](spark, SMALL).collect()) == want
+
+
 def test_another_period_without_alerts_is_refused(spark, built):
     with pytest.raises(ValueError, match="no alert"):
         artifact.build_artifact(Q._alerts(spark, SMALL), Q._txns(spark, SMALL), Q._prepared(spark, SMALL), Q._labels(spark, SMALL), "2030-01-01", O, {}, Q._learned_scores(spark, SMALL), Q._contributions(spark, SMALL), built[1])

@@ -71,6 +71,34 @@ def write_json(path: str, value) -> None:
         f.write(canonical(value))
 
 
+RUNGS = (*backtest.LADDER, "C1")
+
+
+def _of_day(day: str):
+    return lambda df: df.where(F.to_date("period_start") == F.lit(day).cast("date"))
+
+
+def queue_table(alerts: DataFrame, txns: DataFrame, prepared: DataFrame, day: str, point: OperatingPoint, scores: DataFrame, contributions: DataFrame) -> DataFrame:
+    """A period's whole queue, one row an alert, of any size: every rung's rank, evidence, contributions and first transactions as arrays."""
+    of_day = _of_day(day)
+    here = of_day(alerts)
+    queue = of_day(backtest.scored_ranks(prepared, scores, point)).select(
+        "alert_id", pseudonym(F.col("subject_account")).alias("subject"), "fired_rules", "first_txn_ts", F.round("alert_amount", 2).alias("alert_amount"), F.round("score", 6).alias("score"),
+        "attempt_ids", "typologies", "is_true_positive", "unattributed_only", *[f"rank_{r}" for r in RUNGS],
+    )
+    ordered = lambda df, name, *columns: df.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    of_txn = ("n", "txn_id", "ts", "sender", "receiver", "amount", "currency", "format")
+    first = bounded_transactions(here, txns)
+    detail = first.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct(*of_txn))).alias("transactions"), F.max("true_count").alias("transaction_count"))
+    why = ordered(contributions, "contributions", (-F.abs("contribution")).alias("k"), "feature", "value", "contribution")
+    why = why.withColumn("contributions", F.transform("contributions", lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), x["contribution"].alias("contribution"))))
+    out = queue
+    for part in (ordered(store.publishable_evidence(here), "evidence", "rule_id", "name", "value"), why, detail):
+        out = out.join(part, "alert_id", "left")
+    none = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("evidence", "contributions", "transactions")}
+    return out.withColumns(none | {"transaction_count": F.coalesce("transaction_count", F.lit(0))})
+
+
 def build_artifact(
     alerts: DataFrame, txns: DataFrame, prepared: DataFrame, labels: DataFrame, day: str, point: OperatingPoint, provenance: dict, scores: DataFrame, contributions: DataFrame, record: dict
 ) -> dict:
@@ -79,32 +107,21 @@ def build_artifact(
     scores cover the evaluation periods, contributions (alert_id, feature, value, contribution) the period's alerts;
     record is the run record.  At most MAX_ALERTS alerts come to the driver.
     """
-    from triagelake.plans.record import RUNGS, evidence_block, result_block
+    from triagelake.plans.record import evidence_block, result_block
 
-    of_day = lambda df: df.where(F.to_date("period_start") == F.lit(day).cast("date"))
+    of_day = _of_day(day)
     here = of_day(alerts)
-    queue = of_day(backtest.scored_ranks(prepared, scores, point)).select(
-        "alert_id", pseudonym(F.col("subject_account")).alias("subject"), "fired_rules", "first_txn_ts", F.round("alert_amount", 2).alias("alert_amount"), F.round("score", 6).alias("score"),
-        "attempt_ids", "typologies", "is_true_positive", "unattributed_only", *[f"rank_{r}" for r in RUNGS],
-    )
+    queue = queue_table(alerts, txns, prepared, day, point, scores, contributions)
     rows = [r.asDict(recursive=True) for r in queue.orderBy("alert_id").limit(MAX_ALERTS + 1).collect()]
     if not rows:
         raise ValueError(f"no alert in {day}")
     if len(rows) > MAX_ALERTS:
         raise ValueError(f"more than {MAX_ALERTS} alerts in {day}")
-    ids = queue.select("alert_id")
-    evidence, detail, why = {}, {}, {}
-    for r in store.publishable_evidence(here).join(ids, "alert_id", "left_semi").orderBy("alert_id", "rule_id", "name").collect():
-        evidence.setdefault(r.alert_id, {}).setdefault(r.rule_id, {})[r.name] = r.value
-    for r in bounded_transactions(here, txns).join(ids, "alert_id", "left_semi").orderBy("alert_id", "n").collect():
-        detail.setdefault(r.alert_id, []).append(r.asDict())
-    for r in contributions.join(ids, "alert_id", "left_semi").orderBy("alert_id", F.abs("contribution").desc(), "feature").collect():
-        why.setdefault(r.alert_id, []).append({"feature": r.feature, "value": r.value, "contribution": r.contribution})
     for row in rows:
-        found = detail.get(row["alert_id"], [])
-        row["ranks"] = {r: row.pop(f"rank_{r}") for r in RUNGS}
-        row |= {"evidence": evidence.get(row["alert_id"], {}), "contributions": why.get(row["alert_id"], []), "transactions": [{k: v for k, v in t.items() if k not in ("alert_id", "true_count")} for t in found]}
-        row["transaction_count"] = found[0]["true_count"] if found else 0
+        evidence: dict[str, dict] = {}
+        for e in row["evidence"]:
+            evidence.setdefault(e["rule_id"], {})[e["name"]] = e["value"]
+        row |= {"evidence": evidence, "ranks": {r: row.pop(f"rank_{r}") for r in RUNGS}}
     plain = lambda df, key: [r.asDict(recursive=True) for r in df.orderBy(key).collect()]
     hits = sum(r["is_true_positive"] for r in rows)
     store_key = here.select("engine_version", "param_set_hash").first().asDict()

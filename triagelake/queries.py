@@ -217,9 +217,12 @@ def _artifact(s, d) -> dict:
 
 
 def _artifact_queue(s, d):
-    """The built artifact's queue as rows: what the desk reads."""
-    rows = [(r["alert_id"], r["subject"], r["transaction_count"], len(r["transactions"]), len(r["contributions"]), r["rank_B3"], r["rank_C1"]) for r in artifact.rows_of(_artifact(s, d))]
-    return s.createDataFrame(rows, "alert_id string, subject string, transaction_count long, shown long, explained long, rank_b3 int, rank_c1 int")
+    """The whole queue of the artifact's period as rows: what the desk reads. A published artifact holds it if the contract's bound allows."""
+    queue = artifact.queue_table(_alerts(s, d), _txns(s, d), _prepared(s, d), "2024-01-10", O, _learned_scores(s, d), _contributions(s, d, "2024-01-10"))
+    size = lambda c: F.size(c).cast("long")
+    return queue.select(
+        "alert_id", "subject", "transaction_count", size("transactions").alias("shown"), size("contributions").alias("explained"), F.col("rank_B3").alias("rank_b3"), F.col("rank_C1").alias("rank_c1")
+    )
 
 
 def _replay(s, d):
