@@ -224,3 +224,11 @@ def test_source_manifest_and_distribution(spark, tmp_path):
             provenance.validate_distribution(good | change, digest, about)
     with pytest.raises(ValueError):
         provenance.record_source_manifest(spark, str(path), "some day", "ref", about)
+
+
+def test_replay_holds_no_table_of_flagged_payments_in_a_task(spark, monkeypatch):
+    written, txns = [], Q._txns(spark, SMALL)
+    monkeypatch.setattr(artifact, "settled", lambda df: written.append(df) or df)
+    artifact.replay_cases(txns, txns.where("txn_id % 3 = 0").select("txn_id"))
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -15,6 +15,7 @@ from triagelake.functions import pseudonym
 from triagelake.operators import backtest, store
 from triagelake.params import OperatingPoint
 from triagelake.plans import contract
+from triagelake.session import settled
 
 MAX_TXNS, MAX_ALERTS = 8, 3000
 SCHEMA = "triage-artifact-1"
@@ -167,7 +168,8 @@ def replay_cases(txns: DataFrame, flagged: DataFrame) -> DataFrame:
     cash, mixed: first 8 flagged cash and 10 of the first 18 flagged payments if those span three rails;
     ach, ach-short, card: first 8, 5 and 8 clean payments of their rail.
     """
-    rows = txns.join(flagged.select("txn_id", F.lit(1).alias("flag")).distinct(), "txn_id", "left").na.fill(0, ["flag"])
+    marks = flagged.select("txn_id", F.lit(1).alias("flag")).distinct().hint("merge")  # grows with the ledger: no task may hold it whole
+    rows = settled(txns.join(marks, "txn_id", "left").na.fill(0, ["flag"]))  # read by every case below
     bad, good = rows.where("flag = 1"), rows.where("flag = 0")
     order = ["ts", "txn_id"]
     first = bad.groupBy("from_account").agg(F.count("*").alias("c"), F.min(F.struct("ts", "txn_id")).alias("m")).where("c >= 16").orderBy("m", "from_account").limit(1)
